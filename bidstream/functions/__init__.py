@@ -8,9 +8,18 @@ from bidstream.functions.text import (
     path_part_or_null,
     register_sql_functions,
 )
-from bidstream.functions.times import day_of, micros_of, minute_of, part_of_day, seconds_of
+from bidstream.functions.times import (
+    day_of,
+    hop_starts,
+    micros_of,
+    minute_of,
+    part_of_day,
+    seconds_of,
+    slice_of,
+)
 
 __all__ = [
     "channel_code", "channel_id", "count_char", "path_part", "path_part_or_null",
-    "register_sql_functions", "day_of", "micros_of", "minute_of", "part_of_day", "seconds_of",
+    "register_sql_functions", "day_of", "hop_starts", "micros_of", "minute_of", "part_of_day", "seconds_of",
+    "slice_of",
 ]

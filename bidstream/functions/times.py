@@ -30,3 +30,19 @@ def micros_of(interval: str) -> int:
 
 def seconds_of(interval: str) -> int:
     return micros_of(interval) // 1_000_000
+
+
+def slice_of(time, width: str) -> Column:
+    """Start, in epoch microseconds, of the ``width``-wide slice a time falls in; never NULL."""
+    micros = F.unix_micros(time)
+    return F.coalesce(micros - F.pmod(micros, F.lit(micros_of(width))), F.lit(-(1 << 63)))
+
+
+def hop_starts(time, size: str, slide: str) -> Column:
+    """Starts, in epoch microseconds, of every sliding window that holds a time."""
+    step, length = micros_of(slide), micros_of(size)
+    newest = slice_of(time, slide)
+    starts = F.array(*[newest - F.lit(n * step) for n in range(-(-length // step))])
+    if length % step == 0:
+        return starts
+    return F.filter(starts, lambda start: start + length > F.unix_micros(time))

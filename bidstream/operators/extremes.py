@@ -1,16 +1,29 @@
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rows_at_max(rows: DataFrame, group: str, value: str, among=None) -> DataFrame:
     """Rows whose ``value`` equals the largest in their ``group``; ties are all kept.
 
-    The maximum comes from a partially aggregated ``groupBy`` and is joined back on
-    (group, value), so a group is never gathered in one task, however many rows or ties it has.
-    ``among`` limits which rows define the maximum.
+    ``among`` limits which rows define the maximum. Three steps, none of which gathers a group:
+
+    1. the maximum per group, by partial and final aggregation;
+    2. each task drops the rows below its own maximum of the group (rank within the task, so the
+       limit applies before any shuffle and a group of the window is at most one task's rows);
+    3. the few rows left are joined with the maximum on (group, value).
     """
     defining = rows if among is None else rows.where(among)
     best = defining.groupBy(F.col(group).alias("_group")).agg(F.max(value).alias("_best"))
-    return rows.join(
-        best, (rows[group] == best["_group"]) & (rows[value] == best["_best"])
-    ).drop("_group", "_best")
+
+    within = F.lit(True) if among is None else among
+    local = Window.partitionBy(group, "_task", "_within").orderBy(F.desc(value))
+    candidates = (
+        rows.withColumn("_task", F.spark_partition_id())
+        .withColumn("_within", within)
+        .withColumn("_rank", F.rank().over(local))
+        .where(F.col("_rank") <= 1)
+    )
+    return candidates.join(
+        best,
+        (candidates[group] == best["_group"]) & (candidates[value] == best["_best"]),
+    ).drop("_task", "_within", "_rank", "_group", "_best")

@@ -1,7 +1,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidstream.functions import micros_of
+from bidstream.functions import slice_of
 
 
 def trailing_average(
@@ -15,33 +15,31 @@ def trailing_average(
     counts, then the history is cut into blocks of ``block`` positions, each carrying a copy of
     the ``preceding`` rows before it, and the frame runs inside the blocks.
     """
-    sliced = rows.withColumn(
-        "_slice", F.floor(F.unix_micros(time) / F.lit(micros_of(slice_width)))
-    )
-    # ``value`` closes the order so that both uses of ``ranked`` read the same shuffle.
-    in_slice = Window.partitionBy(key, "_slice")
+    # A struct is never NULL, so a NULL key stays a group of its own through the join.
+    sliced = rows.withColumn("_key", F.struct(key)).withColumn("_slice", slice_of(time, slice_width))
+    # ``value`` closes the order, and ``key`` is later read from ``_key``, so that both uses of
+    # ``ranked`` need the same columns and share one shuffle.
+    in_slice = Window.partitionBy("_key", "_slice")
     ranked = (
         sliced.withColumn("_row", F.row_number().over(in_slice.orderBy(*order, value)))
         .withColumn("_size", F.count(F.lit(1)).over(in_slice))
     )
-    history = Window.partitionBy(key).orderBy("_slice")
+    history = Window.partitionBy("_key").orderBy("_slice")
     before = ranked.where(F.col("_row") == F.col("_size")).select(
-        F.col(key).alias("_key"),
-        F.col("_slice").alias("_at"),
+        "_key", "_slice",
         F.coalesce(
             F.sum("_size").over(history.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_before"),
     )
-    placed = (
-        ranked.join(
-            before, ranked[key].eqNullSafe(before["_key"]) & (ranked["_slice"] == before["_at"])
-        )
-        .withColumn("_position", F.col("_before") + F.col("_row") - 1)
+    placed = ranked.join(before, ["_key", "_slice"]).withColumn(
+        "_position", F.col("_before") + F.col("_row") - 1
+    )
+    own, last = (
+        F.expr(f"_position div {block}"), F.expr(f"(_position + {preceding}) div {block}")
     )
-    own = F.floor(F.col("_position") / F.lit(block))
-    last = F.floor((F.col("_position") + preceding) / F.lit(block))
     copies = placed.select(
-        key, value, "_position", own.alias("_own"), F.explode(F.sequence(own, last)).alias("_block")
+        F.col(f"_key.{key}").alias(key), value, "_position", own.alias("_own"),
+        F.explode(F.sequence(own, last)).alias("_block"),
     )
     frame = Window.partitionBy(key, "_block").orderBy("_position").rowsBetween(-preceding, 0)
     return (

@@ -1,7 +1,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidstream.functions import micros_of
+from bidstream.functions import micros_of, slice_of
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap: str, count: str) -> DataFrame:
@@ -15,7 +15,7 @@ def sessions(rows: DataFrame, key: str, time: str, gap: str, count: str) -> Data
     micros = F.unix_micros(time)
     slices = (
         rows.where(F.col(time).isNotNull())
-        .groupBy(key, F.floor(micros / F.lit(width)).alias("_slice"))
+        .groupBy(key, slice_of(time, gap).alias("_slice"))
         .agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count(F.lit(1)).alias("_n"))
     )
     in_order = Window.partitionBy(key).orderBy("_slice")

@@ -129,7 +129,28 @@ _WINNERS = f"""SELECT id, item_name, description, initial_bid, reserve, date_tim
           FROM auction a JOIN bid b ON {_IN_TIME})
     WHERE rn <= 1"""
 
+_BID = "date_time AS ts, auction, bidder, price, channel, url, extra"
+_LOG_ORDER = "date_time, auction, bidder, price, channel, url, extra"
+
 STATEMENTS = {
+    "bid_of_events": f"SELECT {_BID} FROM bid",
+    "auction_of_events": "SELECT * FROM auction",
+    "person_of_events": """SELECT id, name, CAST(NULL AS VARCHAR) AS email_address,
+        CAST(NULL AS VARCHAR) AS credit_card, city, state, date_time, extra FROM person""",
+    "keyed_log": f"""SELECT 'p' || ((row_number() OVER (ORDER BY {_LOG_ORDER}) - 1) % 4) AS key, {_BID}
+        FROM bid""",
+    "first_bids": f"SELECT {_BID} FROM bid ORDER BY {_LOG_ORDER} LIMIT 5000",
+    "dataset_stats": f"""SELECT count(*) AS total_rows, CAST(4 AS BIGINT) AS partitions,
+          count(*) FILTER (WHERE auction IN (1007, 1020, 2001, 2019, 2087)) AS q2_expected_rows,
+          count(*) FILTER (WHERE CAST(price AS DOUBLE) * CAST(0.908 AS DOUBLE) > 1000000
+            AND CAST(price AS DOUBLE) * CAST(0.908 AS DOUBLE) < 50000000) AS q14_expected_rows,
+          count(*) FILTER (WHERE {_NAMED} OR contains(url, 'channel_id=')) AS q21_expected_rows,
+          count(DISTINCT ({_DAY}, channel)) AS q16_expected_rows,
+          count(DISTINCT auction) AS q17_expected_rows
+        FROM bid""",
+    "day_and_minute_files": f"""SELECT auction, bidder, price, date_time, {_DAY} AS date,
+        {_MINUTE} AS time FROM bid""",
+    "hash_partitioned_table": f"SELECT {_BID}, {_DAY} AS day FROM bid",
     "q0": "SELECT auction, bidder, price, date_time FROM bid",
     "q0_r": "SELECT auction, bidder, price, channel, url, date_time AS ts FROM bid",
     "q1": f"SELECT auction, bidder, {_CONVERTED} AS price, date_time FROM bid",

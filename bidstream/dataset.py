@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstream.functions import channel_code, day_of
+from bidstream.functions import channel_code
 from bidstream.functions.text import CHANNEL_CODES
 from bidstream.operators.ordering import take_first
 from bidstream.params import Params
@@ -29,7 +29,7 @@ def dataset_stats(bid: DataFrame, p: Params = Params()) -> DataFrame:
         F.count_if(F.col("auction").isin(*p.watched_auctions)).alias("q2_expected_rows"),
         F.count_if((euros > low) & (euros < high)).alias("q14_expected_rows"),
         F.count_if(named | F.contains("url", F.lit("channel_id="))).alias("q21_expected_rows"),
-        F.countDistinct(day_of("ts"), "channel").alias("q16_expected_rows"),
+        F.countDistinct(F.to_date("ts"), "channel").alias("q16_expected_rows"),
         F.countDistinct("auction").alias("q17_expected_rows"),
         F.countDistinct("channel").alias("channels"),
         F.count(channel_code(F.col("channel"), F.col("url"))).alias("q21_anchored_rows"),

@@ -12,7 +12,9 @@ from bidstream.functions.times import (
     day_of,
     hop_starts,
     micros_of,
+    minute_number,
     minute_of,
+    minute_text,
     part_of_day,
     seconds_of,
     slice_of,
@@ -20,6 +22,6 @@ from bidstream.functions.times import (
 
 __all__ = [
     "channel_code", "channel_id", "count_char", "path_part", "path_part_or_null",
-    "register_sql_functions", "day_of", "hop_starts", "micros_of", "minute_of", "part_of_day", "seconds_of",
-    "slice_of",
+    "register_sql_functions", "day_of", "hop_starts", "micros_of", "minute_number", "minute_of",
+    "minute_text", "part_of_day", "seconds_of", "slice_of",
 ]

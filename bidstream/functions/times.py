@@ -11,6 +11,19 @@ def minute_of(time) -> Column:
     return F.date_format(time, "HH:mm")
 
 
+def minute_number(time) -> Column:
+    """Minute of the day. Unlike a text it can be aggregated by hashing."""
+    return F.hour(time) * 60 + F.minute(time)
+
+
+def minute_text(number) -> Column:
+    """``minute_of`` of a minute of the day."""
+    number = F.col(number) if isinstance(number, str) else number
+    parts = F.floor(number / 60), number % 60
+    joined = F.concat_ws(":", *[F.lpad(part.cast("string"), 2, "0") for part in parts])
+    return F.when(number.isNotNull(), joined)
+
+
 def part_of_day(time) -> Column:
     """dayTime from 8 through 18 h, nightTime from 20 through 6 h, otherTime at 7 and 19 h."""
     hour = F.hour(time)

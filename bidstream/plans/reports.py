@@ -8,7 +8,8 @@ Each report is built from mergeable rows, in three steps:
 
 so distinct counts become plain counts of rows. Bids are expanded twice (once per counted id
 column) where separate distinct aggregates would expand them nine times, and a hot group or id
-is reduced by map-side partial aggregation before any shuffle.
+is reduced by map-side partial aggregation before any shuffle. Days and minutes are aggregated as
+dates and numbers, which Spark can hash, and become text in ``finish``.
 """
 
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidstream.functions import day_of, minute_of
+from bidstream.functions import day_of, minute_number, minute_text
 from bidstream.params import Params
 from bidstream.sources.tables import Tables
 
@@ -83,7 +84,7 @@ _BAND_MERGES = {"n": F.sum, **{f"n{r}": F.sum for r in _RANKS}}
 
 
 def _day_partial(bid, p):
-    rows = per_counted_id(bid, [day_of("ts").alias("day")])
+    rows = per_counted_id(bid, [F.to_date("ts").alias("day")])
     return rows.groupBy("day", "kind", "id").agg(*band_counts(p))
 
 
@@ -91,13 +92,13 @@ DAY_REPORT = Report(
     partial=_day_partial,
     keys=("day", "kind", "id"),
     merges=_BAND_MERGES,
-    finish=lambda rows: rows.groupBy("day").agg(*band_report([])),
+    finish=lambda rows: rows.groupBy("day").agg(*band_report([])).withColumn("day", day_of("day")),
 )
 
 
 def _channel_day_partial(bid, p):
     rows = per_counted_id(
-        bid, ["channel", day_of("ts").alias("day"), minute_of("ts").alias("minute")]
+        bid, ["channel", F.to_date("ts").alias("day"), minute_number("ts").alias("minute")]
     )
     return rows.groupBy("channel", "day", "kind", "id").agg(
         F.max("minute").alias("minute"), *band_counts(p)
@@ -109,8 +110,8 @@ CHANNEL_DAY_REPORT = Report(
     keys=("channel", "day", "kind", "id"),
     merges={"minute": F.max, **_BAND_MERGES},
     finish=lambda rows: rows.groupBy("channel", "day").agg(
-        *band_report([F.max("minute").alias("minute")])
-    ),
+        *band_report([minute_text(F.max("minute")).alias("minute")])
+    ).withColumn("day", day_of("day")),
 )
 
 _PRICE_MERGES = {
@@ -160,13 +161,13 @@ CHANNEL_REPORT = Report(
 )
 
 AUCTION_DAY_REPORT = Report(
-    partial=lambda bid, p: bid.groupBy("auction", day_of("ts").alias("day")).agg(
+    partial=lambda bid, p: bid.groupBy("auction", F.to_date("ts").alias("day")).agg(
         *band_counts(p), *price_summary()[1:]
     ),
     keys=("auction", "day"),
     merges={**_BAND_MERGES, **_PRICE_MERGES},
     finish=lambda rows: rows.select(
-        "auction", "day",
+        "auction", day_of("day").alias("day"),
         F.col("n").alias("total_bids"),
         *[F.col(f"n{r}").alias(f"rank{r}_bids") for r in _RANKS],
         "min_price", "max_price",

@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidstream.functions import day_of, micros_of, minute_of, slice_of
+from bidstream.functions import day_of, minute_number, minute_text, slice_of
 from bidstream.operators import best_match
 from bidstream.params import Params
 from bidstream.plans import CATALOG
@@ -200,7 +200,7 @@ def _by_day(t, p, groups):
             F.struct(F.lit("auction").alias("kind"), F.col("auction").alias("id")),
         )
     ).alias("counted")
-    rows = t.bid.select("ts", "price", *groups, minute_of("ts").alias("minute"), ids)
+    rows = t.bid.select("ts", "price", *groups, minute_number("ts").alias("minute"), ids)
     return rows.groupBy(
         F.window("ts", "1 day").alias("w"), *groups, F.col("counted.kind").alias("kind"),
         F.col("counted.id").alias("id"),
@@ -214,7 +214,7 @@ def _q15(t, p):
 
 def _q16(t, p):
     daily = _by_day(t, p, ["channel"]).groupBy("w", "channel").agg(
-        *R.band_report([F.max("minute").alias("minute")])
+        *R.band_report([minute_text(F.max("minute")).alias("minute")])
     )
     return daily.select("channel", day_of("w.start").alias("day"), *daily.columns[2:])
 
@@ -223,7 +223,7 @@ def _q17(t, p):
     daily = t.bid.groupBy("auction", F.window("ts", "1 day").alias("w")).agg(
         *R.band_counts(p), *R.price_summary()[1:]
     )
-    rows = daily.select("auction", day_of("w.start").alias("day"), *daily.columns[2:])
+    rows = daily.select("auction", F.to_date("w.start").alias("day"), *daily.columns[2:])
     return R.AUCTION_DAY_REPORT.finish(rows)
 
 

@@ -148,7 +148,7 @@ STATEMENTS = {
           count(DISTINCT ({_DAY}, channel)) AS q16_expected_rows,
           count(DISTINCT auction) AS q17_expected_rows
         FROM bid""",
-    "day_and_minute_files": f"""SELECT auction, bidder, price, date_time, {_DAY} AS date,
+    "day_files": f"""SELECT auction, bidder, price, date_time, {_DAY} AS date,
         {_MINUTE} AS time FROM bid""",
     "hash_partitioned_table": f"SELECT {_BID}, {_DAY} AS day FROM bid",
     "q0": "SELECT auction, bidder, price, date_time FROM bid",

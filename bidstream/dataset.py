@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstream.functions import channel_code
-from bidstream.functions.text import CHANNEL_CODES
+from bidstream.functions import has_channel_id, is_named
 from bidstream.operators.ordering import take_first
 from bidstream.params import Params
 from bidstream.schemas import DATASET_STATS
@@ -22,17 +21,17 @@ def dataset_stats(bid: DataFrame, p: Params = Params()) -> DataFrame:
     """
     low, high = p.converted_range
     euros = F.col("price").cast("double") * float(p.dollar_rate)
-    named = F.lower("channel").isin(*CHANNEL_CODES)
+    named = is_named("channel")
     return bid.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.countDistinct("key").alias("partitions"),
         F.count_if(F.col("auction").isin(*p.watched_auctions)).alias("q2_expected_rows"),
         F.count_if((euros > low) & (euros < high)).alias("q14_expected_rows"),
-        F.count_if(named | F.contains("url", F.lit("channel_id="))).alias("q21_expected_rows"),
+        F.count_if(named | has_channel_id("url", anchored=False)).alias("q21_expected_rows"),
         F.countDistinct(F.to_date("ts"), "channel").alias("q16_expected_rows"),
         F.countDistinct("auction").alias("q17_expected_rows"),
         F.countDistinct("channel").alias("channels"),
-        F.count(channel_code(F.col("channel"), F.col("url"))).alias("q21_anchored_rows"),
+        F.count_if(named | has_channel_id("url")).alias("q21_anchored_rows"),
     )
 
 

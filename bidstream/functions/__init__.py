@@ -4,6 +4,9 @@ from bidstream.functions.text import (
     channel_code,
     channel_id,
     count_char,
+    has_channel_id,
+    is_named,
+    matched_group,
     path_part,
     path_part_or_null,
     register_sql_functions,
@@ -21,7 +24,8 @@ from bidstream.functions.times import (
 )
 
 __all__ = [
-    "channel_code", "channel_id", "count_char", "path_part", "path_part_or_null",
+    "channel_code", "channel_id", "count_char",
+    "has_channel_id", "is_named", "matched_group", "path_part", "path_part_or_null",
     "register_sql_functions", "day_of", "hop_starts", "micros_of", "minute_number", "minute_of",
     "minute_text", "part_of_day", "seconds_of", "slice_of",
 ]

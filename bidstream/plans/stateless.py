@@ -7,12 +7,13 @@ from bidstream.functions import (
     channel_code,
     count_char,
     day_of,
+    has_channel_id,
+    is_named,
     minute_of,
     part_of_day,
     path_part,
     path_part_or_null,
 )
-from bidstream.functions.text import ANYWHERE, ANCHORED
 from bidstream.params import Params
 from bidstream.sources.tables import Tables
 
@@ -88,23 +89,23 @@ def q14_r(t: Tables, p: Params = Params()) -> DataFrame:
 
 def q21(t: Tables, p: Params = Params()) -> DataFrame:
     """Channel code by name or from the URL; bids with neither are dropped."""
-    return _with_channel_code(t, ANCHORED)
+    return _with_channel_code(t, anchored=True)
 
 
 def q21_r(t: Tables, p: Params = Params()) -> DataFrame:
-    return _with_channel_code(t, ANCHORED)
+    return _with_channel_code(t, anchored=True)
 
 
 def q21_r_anywhere(t: Tables, p: Params = Params()) -> DataFrame:
     """As q21_r, accepting ``channel_id=`` after any character."""
-    return _with_channel_code(t, ANYWHERE)
+    return _with_channel_code(t, anchored=False)
 
 
 def q22(t: Tables, p: Params = Params()) -> DataFrame:
     """Three URL directories; '' where the URL is too short."""
     return t.bid.select(
         "auction", "bidder", "price", "channel",
-        *[path_part("url", 3 + n).alias(f"dir{n}") for n in (1, 2, 3)],
+        *[path_part("url", 3 + n, last=6).alias(f"dir{n}") for n in (1, 2, 3)],
     )
 
 
@@ -112,7 +113,7 @@ def q22_r(t: Tables, p: Params = Params()) -> DataFrame:
     """Three URL directories; NULL where the URL is too short."""
     return t.bid.select(
         "auction", "bidder", "price", "channel",
-        *[path_part_or_null("url", 2 + n).alias(f"dir{n}") for n in (1, 2, 3)],
+        *[path_part_or_null("url", 2 + n, last=6).alias(f"dir{n}") for n in (1, 2, 3)],
     )
 
 
@@ -128,11 +129,9 @@ def _watched(t, p):
     return t.bid.where(F.col("auction").isin(*p.watched_auctions))
 
 
-def _with_channel_code(t, pattern):
-    return (
-        t.bid.select(
-            "auction", "bidder", "price", "channel",
-            channel_code(F.col("channel"), F.col("url"), pattern).alias("channel_id"),
-        )
-        .where(F.col("channel_id").isNotNull())
+def _with_channel_code(t, anchored):
+    channel, url = F.col("channel"), F.col("url")
+    return t.bid.where(is_named(channel) | has_channel_id(url, anchored)).select(
+        "auction", "bidder", "price", "channel",
+        channel_code(channel, url, anchored).alias("channel_id"),
     )

@@ -66,6 +66,11 @@ def stream_bids(spark: SparkSession, path: str, files_per_trigger: int | None =
     return decode(split_key(stream_lines(spark, path, files_per_trigger)))
 
 
+def record_count(spark: SparkSession, path: str) -> int:
+    """Records in a log of lines, e.g. to see whether it is fully loaded."""
+    return split_key(read_lines(spark, path)).count()
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Combined events from JSON lines, keyed or not."""
     return decode(split_key(read_lines(spark, path)), COMBINED_EVENT).drop("key")

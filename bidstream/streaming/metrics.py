@@ -1,8 +1,10 @@
 """Replay metrics: one row per query, and the report files made of them."""
 
 import json
+import time
 from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -39,6 +41,21 @@ def measure(name, query, seconds, expected=None, inserted=None) -> dict:
     }
 
 
+def run_and_measure(name, begin, timeout, expected=None, inserted=lambda: None) -> dict:
+    """Run ``begin()`` until its query ends by itself, or stop it after ``timeout`` seconds."""
+    started = time.monotonic()
+    query = begin()
+    try:
+        ended = query.awaitTermination(timeout)
+    except StreamingQueryException:
+        return measure(name, query, time.monotonic() - started, expected)
+    seconds = time.monotonic() - started
+    if not ended:
+        query.stop()
+        return measure(name, query, seconds, expected) | {"state": "timeout"}
+    return measure(name, query, seconds, expected, inserted())
+
+
 def outcome(query, expected, inserted) -> str:
     """'failed', 'running', 'short' (rows missing or in excess) or 'finished'."""
     if query.exception() is not None:

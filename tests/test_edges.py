@@ -6,7 +6,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from bidstream.functions import count_char, register_sql_functions
+from bidstream.functions import (
+    channel_id,
+    count_char,
+    matched_group,
+    path_part,
+    path_part_or_null,
+    register_sql_functions,
+)
 from bidstream.operators import numbered, sessions, take_first
 from bidstream.params import Params
 from bidstream.plans import CATALOG
@@ -193,3 +200,23 @@ def test_take_first(spark):
     assert sorted(r.v for r in take_first(rows, ["v"], 10).collect()) == list(range(10))
     with pytest.raises(ValueError):
         take_first(rows, ["v"], 101)
+
+
+URLS = [None, "", "channel_id=", "&channel_id=&channel_id=2", "a?channel_id=1", "a&channel_id=x/y&z",
+        "channel_id=a&channel_id=b", "xchannel_id=1&channel_id=2", "a&&channel_id==&", "&channel_i=3"]
+
+
+def test_text_search_equals_the_patterns(spark):
+    rows = spark.createDataFrame([(u,) for u in URLS], "url string")
+    for anchored, pattern, group in ((True, "(&|^)channel_id=([^&]*)", 2), (False, "channel_id=([^&]*)", 1)):
+        wrong = rows.where(~channel_id("url", anchored).eqNullSafe(matched_group("url", pattern, group)))
+        assert wrong.collect() == []
+
+
+def test_path_parts_equal_builtin_functions(spark):
+    texts = [None, "", "/", "a", "a/b", "a//b/c/d/e/f/g", "https://h/1/2/3/4/5"]
+    rows = spark.createDataFrame([(u,) for u in texts], "url string")
+    for n in range(1, 7):
+        assert rows.where(~path_part("url", n, last=6).eqNullSafe(F.split_part("url", F.lit("/"), F.lit(n)))).isEmpty()
+        plain = F.get(F.split("url", "/"), F.lit(n - 1))
+        assert rows.where(~path_part_or_null("url", n - 1, last=6).eqNullSafe(plain)).isEmpty()

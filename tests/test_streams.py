@@ -9,9 +9,17 @@ from bidstream.dataset import dataset_stats, expected_rows
 from bidstream.params import Params
 from bidstream.plans import CATALOG
 from bidstream.schemas import BID
+from bidstream.sources.events import stream_bids
 from bidstream.sources.tables import Tables, from_warehouse
 from bidstream.streaming import FORMS, compact, result, start
-from bidstream.streaming.metrics import markdown, measure, metrics_frame, report, save_report
+from bidstream.streaming.metrics import (
+    markdown,
+    measure,
+    metrics_frame,
+    report,
+    run_and_measure,
+    save_report,
+)
 from bidstream.streaming.replay import replay, stage
 from check import normalised
 from conftest import at, values
@@ -123,3 +131,20 @@ def test_metrics_and_report(spark, staged, tmp_path):
 def test_outcome_tells_missing_rows(spark, staged):
     _, query, seconds = replay("q0", staged, spark, P)
     assert measure("q0", query, seconds, expected=7000, inserted=6000)["state"] == "short"
+
+
+def test_failed_and_slow_queries_are_reported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("p0\t{broken\n")
+
+    def begin():
+        tables = Tables(stream_bids(spark, str(tmp_path / "in")).drop("key"))
+        return start(FORMS["q0_r"], tables, str(tmp_path / "store"), str(tmp_path / "cp"), P)
+
+    assert run_and_measure("q0_r", begin, 60)["state"] == "failed"
+
+    def endless():
+        rows = spark.readStream.format("rate").load()
+        return rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "r")).start()
+
+    assert run_and_measure("rate", endless, 2)["state"] == "timeout"

@@ -1,47 +1,26 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidstream.functions import slice_of
+from bidstream.operators.ordering import numbered
 
 
 def trailing_average(
-    rows: DataFrame, key: str, order, value: str, preceding: int,
-    time: str, slice_width: str, block: int, name: str,
+    rows: DataFrame, key: str, order, value: str, preceding: int, block: int, name: str
 ) -> DataFrame:
     """Average of ``value`` over the current and ``preceding`` earlier rows of the same ``key``.
 
-    ``order`` must be total and start with ``time``. A plain window would sort a key's whole
-    history in one task. Here each row first gets its position in the history from per-slice
-    counts, then the history is cut into blocks of ``block`` positions, each carrying a copy of
-    the ``preceding`` rows before it, and the frame runs inside the blocks.
+    A plain window would sort a key's whole history in one task. Here all rows get a dense number
+    in (key, order), so each key is a contiguous run; the numbers are cut into blocks of ``block``
+    rows, each carrying a copy of the ``preceding`` rows before it, and the frame runs inside the
+    blocks. However long one history is, no task sees more than its blocks.
     """
-    # A struct is never NULL, so a NULL key stays a group of its own through the join.
-    sliced = rows.withColumn("_key", F.struct(key)).withColumn("_slice", slice_of(time, slice_width))
-    # ``value`` closes the order, and ``key`` is later read from ``_key``, so that both uses of
-    # ``ranked`` need the same columns and share one shuffle.
-    in_slice = Window.partitionBy("_key", "_slice")
-    ranked = (
-        sliced.withColumn("_row", F.row_number().over(in_slice.orderBy(*order, value)))
-        .withColumn("_size", F.count(F.lit(1)).over(in_slice))
-    )
-    history = Window.partitionBy("_key").orderBy("_slice")
-    before = ranked.where(F.col("_row") == F.col("_size")).select(
-        "_key", "_slice",
-        F.coalesce(
-            F.sum("_size").over(history.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
-    placed = ranked.join(before, ["_key", "_slice"]).withColumn(
-        "_position", F.col("_before") + F.col("_row") - 1
-    )
-    own, last = (
-        F.expr(f"_position div {block}"), F.expr(f"(_position + {preceding}) div {block}")
-    )
+    placed = numbered(rows.select(key, *order, value), [key, *order], "_index")
+    own = F.expr(f"_index div {block}")
+    last = F.expr(f"(_index + {preceding}) div {block}")
     copies = placed.select(
-        F.col(f"_key.{key}").alias(key), value, "_position", own.alias("_own"),
-        F.explode(F.sequence(own, last)).alias("_block"),
+        key, value, "_index", own.alias("_own"), F.explode(F.sequence(own, last)).alias("_block")
     )
-    frame = Window.partitionBy(key, "_block").orderBy("_position").rowsBetween(-preceding, 0)
+    frame = Window.partitionBy("_block", key).orderBy("_index").rowsBetween(-preceding, 0)
     return (
         copies.withColumn(name, F.avg(value).over(frame))
         .where(F.col("_block") == F.col("_own"))

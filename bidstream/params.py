@@ -32,8 +32,7 @@ class Params:
     join_salts: int = 4
     # Largest side table that is shipped whole to every executor (two short columns a row).
     broadcast_rows: int = 1_000_000
-    # Width of the time slices that split one seller's history into separate tasks.
-    history_slice: str = "60 seconds"
+    # Rows per block when the history of one seller is split over tasks.
     history_block: int = 100_000
 
     def but(self, **changes):

@@ -28,8 +28,7 @@ def closing_bids(t: Tables, highest: bool) -> DataFrame:
 def seller_average(closed: DataFrame, p: Params) -> DataFrame:
     return trailing_average(
         closed, key="seller", order=["bid_date_time", "id"], value="price",
-        preceding=p.preceding_rows, time="bid_date_time",
-        slice_width=p.history_slice, block=p.history_block, name="avg",
+        preceding=p.preceding_rows, block=p.history_block, name="avg",
     )
 
 

@@ -192,6 +192,12 @@ def _q11(t, p):
     )
 
 
+def _q12(t, p):
+    """The time of the micro-batch is the event time, so that windows gone by leave the state."""
+    clocked = t.bid.select("bidder", F.current_timestamp().alias("p_time"))
+    return CATALOG["q12"](Tables(clocked.withWatermark("p_time", p.watermark_delay)), p, "p_time")
+
+
 def _by_day(t, p, groups):
     """First of two chained aggregates: one state row per (day, group, counted id)."""
     ids = F.explode(
@@ -264,7 +270,7 @@ FORMS: dict[str, Form] = {
     "q9": Form(lambda t, p: _winners(t, p, _Q9_COLUMNS)),
     "q11": Form(_q11),
     "q12": Form(
-        CATALOG["q12"], mode="update",
+        _q12, mode="update", declares=True,
         merge=lambda stored, p: _newest_counts(stored),
         view=lambda stored, p: _newest_counts(stored),
     ),

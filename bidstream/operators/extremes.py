@@ -15,15 +15,14 @@ def rows_at_max(rows: DataFrame, group: str, value: str, among=None) -> DataFram
     defining = rows if among is None else rows.where(among)
     best = defining.groupBy(F.col(group).alias("_group")).agg(F.max(value).alias("_best"))
 
-    within = F.lit(True) if among is None else among
-    local = Window.partitionBy(group, "_task", "_within").orderBy(F.desc(value))
-    candidates = (
-        rows.withColumn("_task", F.spark_partition_id())
-        .withColumn("_within", within)
-        .withColumn("_rank", F.rank().over(local))
-        .where(F.col("_rank") <= 1)
-    )
+    # Rows that do not define the maximum must not displace those that do.
+    parts = [group, "_task"] if among is None else [group, "_task", "_defining"]
+    placed = rows.withColumn("_task", F.spark_partition_id())
+    if among is not None:
+        placed = placed.withColumn("_defining", among)
+    local = Window.partitionBy(*parts).orderBy(F.desc(value))
+    candidates = placed.withColumn("_rank", F.rank().over(local)).where(F.col("_rank") <= 1)
     return candidates.join(
         best,
         (candidates[group] == best["_group"]) & (candidates[value] == best["_best"]),
-    ).drop("_task", "_within", "_rank", "_group", "_best")
+    ).drop("_task", "_defining", "_rank", "_group", "_best")

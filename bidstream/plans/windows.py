@@ -47,14 +47,14 @@ def q7(t: Tables, p: Params = Params()) -> DataFrame:
             F.when(on_edge, F.array("closes", "opens")).otherwise(F.array("closes"))
         ).alias("window_end"),
     )
-    return highest_bids(placed)
+    return highest_bids(placed).select(
+        "auction", "price", "bidder", F.col("ts").alias("date_time")
+    )
 
 
 def highest_bids(placed: DataFrame) -> DataFrame:
     within = F.col("ts") < F.col("window_end")
-    return rows_at_max(placed, "window_end", "price", among=within).select(
-        "auction", "price", "bidder", F.col("ts").alias("date_time")
-    )
+    return rows_at_max(placed, "window_end", "price", among=within)
 
 
 def q8(t: Tables, p: Params = Params()) -> DataFrame:

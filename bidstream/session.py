@@ -14,7 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
-_TARGET_PARTITION_BYTES = 128 << 20
+_TARGET_PARTITION_BYTES = 64 << 20  # of stored, compressed input
 _MAX_SHUFFLE_PARTITIONS = 200_000
 
 

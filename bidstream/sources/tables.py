@@ -12,9 +12,24 @@ class Tables(NamedTuple):
     person: DataFrame | None = None
 
 
+# The columns read, so that opening a table needs no look into its files.
+_WAREHOUSE = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_returnflag STRING, l_linestatus STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+}
 _SPAN = 255_600  # seconds over which auctions open
 
 
+def stored_bytes(spark: SparkSession, directory: str) -> int:
+    """Size of the warehouse tables on storage, from file metadata only."""
+    paths = [f"{directory}/{name}.parquet" for name in _WAREHOUSE]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
 def _moment(seconds):
     # Plain arithmetic on the epoch: no session time zone takes part.
     return F.timestamp_seconds(F.lit(1_704_067_200) + seconds.cast("long"))  # 2024-01-01 UTC
@@ -24,7 +39,7 @@ def from_warehouse(spark: SparkSession, directory: str) -> Tables:
     """Views over line items (as bids), orders (as auctions) and customers (as people)."""
 
     def table(name):
-        return spark.read.parquet(f"{directory}/{name}.parquet")
+        return spark.read.schema(_WAREHOUSE[name]).parquet(f"{directory}/{name}.parquet")
 
     return Tables(
         bid=bids_of(table("lineitem")),

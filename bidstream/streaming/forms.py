@@ -177,8 +177,16 @@ def _q7(t, p):
 
 
 def _q7_highest(closed, p):
-    each = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")
-    return highest_bids(closed.select("auction", "bidder", "price", "ts", "window_end", each))
+    return _repeated(highest_bids(closed), "n").select(
+        "auction", "price", "bidder", F.col("ts").alias("date_time")
+    )
+
+
+def _repeated(rows, count, run=10_000):
+    """Each row ``count`` times. In two steps, so that no array grows with a large count."""
+    runs = F.explode(F.expr(f"sequence(0L, ({count} - 1) div {run})")).alias("_run")
+    length = F.least(F.lit(run), F.col(count) - F.col("_run") * run)
+    return rows.select("*", runs).select("*", F.explode(F.sequence(F.lit(1), length)).alias("_copy"))
 
 
 def _q11(t, p):

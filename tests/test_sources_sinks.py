@@ -23,7 +23,7 @@ from bidstream.sources.events import (
     stream_bids,
 )
 from bidstream.sources.side_input import side_input
-from bidstream.sources.tables import from_warehouse
+from bidstream.sources.tables import from_warehouse, stored_bytes
 from conftest import at, values
 
 SF = "/root/testdata/sf0.001"
@@ -185,5 +185,10 @@ def test_workspace_uses_the_named_folder(spark):
 
 def test_shuffle_size_follows_the_input():
     assert shuffle_partitions(1 << 20, 8) == 8
-    assert shuffle_partitions(1 << 40, 8) == 8192
+    assert shuffle_partitions(1 << 40, 8) == 16384
     assert shuffle_partitions(100 << 40, 4000) == 200_000
+
+
+def test_stored_bytes(spark):
+    tables = ("lineitem", "orders", "customer")
+    assert stored_bytes(spark, SF) == sum(Path(f"{SF}/{t}.parquet").stat().st_size for t in tables)

@@ -12,6 +12,7 @@ from bidstream.schemas import BID
 from bidstream.sources.events import stream_bids
 from bidstream.sources.tables import Tables, from_warehouse
 from bidstream.streaming import FORMS, compact, result, start
+from bidstream.streaming.forms import _repeated
 from bidstream.streaming.metrics import (
     markdown,
     measure,
@@ -148,3 +149,9 @@ def test_failed_and_slow_queries_are_reported(spark, tmp_path):
         return rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "r")).start()
 
     assert run_and_measure("rate", endless, 2)["state"] == "timeout"
+
+
+def test_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 25), (3, 10)], "id long, n long")
+    counts = _repeated(rows, "n", run=10).groupBy("id").count()
+    assert values(counts, "id", "count") == [(1, 1), (2, 25), (3, 10)]

@@ -4,7 +4,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
 
 from bidstream.schemas import AUCTION_TYPE, BID, BID_TYPE, COMBINED_EVENT, PERSON_TYPE
 from bidstream.sources.tables import Tables
@@ -106,10 +106,14 @@ def multiplex(t: Tables) -> DataFrame:
 
 
 def with_watermarks(t: Tables, delay: str) -> Tables:
-    """Declare event time on every table that is present."""
+    """Declare event time on every table that is present; zoneless times get the session zone."""
 
     def declared(rows, column):
-        return None if rows is None else rows.withWatermark(column, delay)
+        if rows is None:
+            return None
+        if isinstance(rows.schema[column].dataType, TimestampNTZType):
+            rows = rows.withColumn(column, F.col(column).cast("timestamp"))
+        return rows.withWatermark(column, delay)
 
     return Tables(
         declared(t.bid, "ts"), declared(t.auction, "date_time"), declared(t.person, "date_time")

@@ -10,7 +10,7 @@ from bidstream.plans import CATALOG
 from bidstream.schemas import BID, COMBINED_EVENT
 from bidstream.session import shuffle_partitions
 from bidstream.sinks.batch import keyed
-from bidstream.sinks.stream import changes_stream, latest_snapshot, upserted
+from bidstream.sinks.stream import latest_snapshot, upserted
 from bidstream.sources import kafka
 from bidstream.sources.events import (
     decode,
@@ -18,12 +18,12 @@ from bidstream.sources.events import (
     demultiplex,
     multiplex,
     read_bids,
-    read_lines,
     split_key,
     stream_bids,
+    with_watermarks,
 )
 from bidstream.sources.side_input import side_input
-from bidstream.sources.tables import from_warehouse, stored_bytes
+from bidstream.sources.tables import Tables, from_warehouse, stored_bytes
 from conftest import at, values
 
 SF = "/root/testdata/sf0.001"
@@ -80,14 +80,17 @@ def test_keyed_lines_round_trip(spark, tmp_path):
     back = read_bids(spark, str(tmp_path / "log"))
     assert values(back.groupBy("key").count(), "key", "count") == [(f"p{n}", 1500) for n in range(4)]
     assert bid.select(*BID.fieldNames()).exceptAll(back.drop("key")).isEmpty()
-    line = read_lines(spark, str(tmp_path / "log")).first().value
-    assert line.startswith("p0\t{") and json.loads(line.split("\t")[1])["ts"].endswith("Z")
+    files = sorted((tmp_path / "log").glob("part-*"))
+    written = [line for file in files for line in file.read_text().splitlines()]
+    assert [line.split("\t")[0] for line in written] == [f"p{n % 4}" for n in range(6000)]
+    times = [json.loads(line.split("\t")[1])["ts"] for line in written]
+    assert times == sorted(times) and times[0].endswith("Z")
 
 
 def test_log_stream_reads_all_and_ends(spark, tmp_path):
     bid = from_warehouse(spark, SF).bid
     sinks.write_keyed_lines(bid, str(tmp_path / "log"), 4)
-    rows = CATALOG["q2_r"](type(from_warehouse(spark, SF))(stream_bids(spark, str(tmp_path / "log"), 2)))
+    rows = CATALOG["q2_r"](Tables(stream_bids(spark, str(tmp_path / "log"), 2)))
     query = sinks.discard_stream(rows, "drain", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert query.exception() is None
@@ -192,3 +195,13 @@ def test_shuffle_size_follows_the_input():
 def test_stored_bytes(spark):
     tables = ("lineitem", "orders", "customer")
     assert stored_bytes(spark, SF) == sum(Path(f"{SF}/{t}.parquet").stat().st_size for t in tables)
+
+
+def test_zoneless_times_can_carry_a_watermark(spark, tmp_path):
+    bid = from_warehouse(spark, SF).bid
+    zoneless = bid.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    zoneless.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(zoneless.schema).parquet(str(tmp_path / "in"))
+    declared = with_watermarks(Tables(stream), "1 minute").bid
+    assert dict(declared.dtypes)["ts"] == "timestamp"
+    drained(sinks.discard_stream(declared, "zoneless", str(tmp_path / "cp")))

@@ -22,17 +22,43 @@ def dataset_stats(bid: DataFrame, p: Params = Params()) -> DataFrame:
     low, high = p.converted_range
     euros = F.col("price").cast("double") * float(p.dollar_rate)
     named = is_named("channel")
-    return bid.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.countDistinct("key").alias("partitions"),
-        F.count_if(F.col("auction").isin(*p.watched_auctions)).alias("q2_expected_rows"),
-        F.count_if((euros > low) & (euros < high)).alias("q14_expected_rows"),
-        F.count_if(named | has_channel_id("url", anchored=False)).alias("q21_expected_rows"),
-        F.countDistinct(F.to_date("ts"), "channel").alias("q16_expected_rows"),
-        F.countDistinct("auction").alias("q17_expected_rows"),
-        F.countDistinct("channel").alias("channels"),
-        F.count_if(named | has_channel_id("url")).alias("q21_anchored_rows"),
+    flags = {
+        "q2_expected_rows": F.col("auction").isin(*p.watched_auctions),
+        "q14_expected_rows": (euros > low) & (euros < high),
+        "q21_expected_rows": named | has_channel_id("url", anchored=False),
+        "q21_anchored_rows": named | has_channel_id("url"),
+    }
+    # Each bid three times, under its auction, its channel and day, and its key: distinct counts
+    # become counts of rows, reduced before the shuffle.
+    ids = F.explode(F.array(
+        _counted("auction", F.col("auction").cast("string")),
+        _counted("channel", F.col("channel"), F.to_date("ts")),
+        _counted("key", F.col("key")),
+    )).alias("_id")
+    per_id = (
+        bid.select(ids, *[flag.alias(name) for name, flag in flags.items()])
+        .groupBy("_id.kind", "_id.name", "_id.day")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(name).alias(name) for name in flags])
     )
+    kind, name = F.col("kind"), F.col("name")
+
+    def rows(column):
+        return F.coalesce(F.sum(F.when(kind == "auction", F.col(column))), F.lit(0))
+
+    return per_id.agg(
+        rows("n").alias("total_rows"),
+        F.count_if((kind == "key") & name.isNotNull()).alias("partitions"),
+        *[rows(flag).alias(flag) for flag in flags],
+        F.count_if((kind == "channel") & name.isNotNull() & F.col("day").isNotNull())
+        .alias("q16_expected_rows"),
+        F.count_if((kind == "auction") & name.isNotNull()).alias("q17_expected_rows"),
+        F.countDistinct(F.when(kind == "channel", name)).alias("channels"),
+    )
+
+
+def _counted(kind, name, day=None):
+    day = F.lit(None).cast("date") if day is None else day
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"), day.alias("day"))
 
 
 def expected_rows(stats: dict[str, int]) -> dict[str, int]:

@@ -36,6 +36,7 @@ from bidstream.llm.texts import mixed, slices
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS = 64
+BLOCK_BYTES = 6 << 20  # of text; a task holds the distinct words and bigrams of a block
 GRID = 2  # steps per octave of the histogram
 ROUNDS = 200
 
@@ -48,7 +49,7 @@ WORD, BIGRAM, TOTAL, WEIGHTS = 0, 1, 2, 3
 def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     ship(docs.sparkSession)
-    rows, count = blocked(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")))
+    rows, count = blocked(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), BLOCK_BYTES)
     by_block = rows.groupBy("block")
     pieces = by_block.applyInArrow(partial(_pieces, ranges=count), _PIECE)
     totals = pieces.groupBy("range").applyInArrow(partial(_totals, blocks=count), _NOTE)

@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """Links (a, b) in; (node, component) out, the component being its smallest node.
 
     Links are never gathered: each step is an aggregate over nodes and a join. A node with very many
-    links is reduced by partial aggregation and its join is split by adaptive execution.
+    links is reduced by partial aggregation and its join is split by adaptive execution. Nothing is
+    broadcast, whatever its size: the loop would pile broadcasts up on the driver.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
     state = None
@@ -30,12 +31,12 @@ def _large_star(edges):
     """Larger neighbours of each node go to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "node")
-    return both.join(least, F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges):
     """Smaller neighbours of each node, and the node, go to the smallest of them. ``a`` > ``b``."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
-    joined = edges.join(least, F.col("a") == F.col("node"))
+    joined = edges.join(least.hint("merge"), F.col("a") == F.col("node"))
     return joined.select("b", "m").where("b > m").withColumnRenamed("b", "a").withColumnRenamed("m", "b").unionByName(
         least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()

@@ -6,10 +6,10 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
 2. Documents of equal words become one class, represented by the smallest doc_id.
 3. Signatures are cut into bands; classes that agree in a band are candidates. At the threshold a
    pair shares no band with probability (1 - t^ROWS)^BANDS = 8e-7.
-4. Within a bucket candidates are compared with one hub, not with each other, and in the next round
-   only members of still different components are compared, with the best-linked member as hub.
-   When no more pairs are left than there are documents, all of them are compared. So every pair of
-   a bucket is either compared or already connected; large buckets cost one comparison per member.
+4. Within a bucket candidates are compared with a hub, not with each other; in a second round only
+   members not yet connected to the best-linked member are, with that as hub. What buckets still hold
+   of different components is compared where exact prefix and position bounds on the sets allow a
+   link. So no pair of a bucket is lost, and a large group costs a few comparisons per member.
 5. Verification: signatures are compared in batches; after n hashes with m agreements the posterior
    of the similarity under a uniform prior is Beta(m + 1, n - m + 1), and the pair is dropped once
    P(similarity >= t) falls below MISS. Survivors are verified on their full shingle sets.
@@ -27,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidstream.llm.components import components
@@ -39,6 +39,7 @@ WIDTH = 5
 BANDS, ROWS = 24, 5
 BATCH = 24  # signature hashes compared at a time
 MISS = 1e-9
+HUB_ROUNDS = 2
 
 _HASHES = BANDS * ROWS
 _generator = np.random.Generator(np.random.PCG64(11))
@@ -65,7 +66,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     texts = stored(
         docs.select("doc_id", "text").join(signatures.select("doc_id"), "doc_id"), "texts"
     )
-    links = _links(members, signatures, texts, threshold, some.count())
+    links = _links(members, signatures, texts, threshold)
     same = with_class.where("doc_id != class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     labels = components(same.unionByName(links))
     return (
@@ -160,46 +161,80 @@ def _matrix(column):
     return np.frombuffer(data, np.uint32)[first * _HASHES: (first + len(column)) * _HASHES].reshape(-1, _HASHES) if len(column) else np.zeros((0, _HASHES), np.uint32)
 
 
-def _links(members, signatures, texts, threshold, documents):
+def _links(members, signatures, texts, threshold):
     """Verified links that connect every pair of a bucket that is similar."""
     members = members.withColumn("component", F.col("doc_id"))
-    links, round_ = None, 0
-    degree = None
-    while True:
-        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"),
-                                            F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0] or 0
-        if not left:
-            break
-        members = stored(members.join(open_.select("bucket"), "bucket", "left_semi"), "members")
-        last = left <= documents
-        if last:
-            other = members.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-            pairs = members.join(other, "bucket").where("doc_id < b AND component != component_b").select(F.col("doc_id").alias("a"), "b")
-        else:
-            ranked = members
-            if degree is not None:
-                ranked = members.join(degree, "doc_id", "left")
-            rank = (F.coalesce(F.col("degree"), F.lit(0)) if degree is not None else F.lit(0)) * F.lit(1 << 32) + F.crc32(F.col("doc_id").cast("string"))
-            hubs = ranked.groupBy("bucket").agg(F.max_by("doc_id", rank).alias("hub"), F.max_by("component", rank).alias("hub_component"))
-            joined = members.join(hubs, "bucket")
-            pairs = joined.where("component != hub_component").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    links = None
+    for round_ in range(HUB_ROUNDS):
+        # Best-linked members first.
+        ranked = members.withColumn("degree", F.lit(0)) if links is None else members.join(degree.hint("merge"), "doc_id", "left")
+        rank = Window.partitionBy("bucket").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.crc32(F.col("doc_id").cast("string")), "doc_id")
+        hubs = ranked.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == 1)
+        hubs = hubs.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("hub_component"))
+        pairs = members.join(hubs.hint("merge"), "bucket").where("component != hub_component").select(
+            F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
         found = stored(verified(pairs.distinct(), signatures, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        round_ += 1
-        labels = components(links).withColumnRenamed("node", "doc_id")
-        ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id")))
-        degree = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
-        # The hub has met every other component of its bucket.
-        members = stored(
-            joined.where("doc_id != hub").select("bucket", "doc_id").join(labels, "doc_id", "left")
-            .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")),
-            "members",
-        )
-    return links if links is not None else members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = stored(ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "doc_id"), "degrees")
+        # Members linked to one and the same document are connected: its best-linked neighbour,
+        # or itself, names a member's component as far as it is known.
+        near = ends.join(degree.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "degree").unionByName(
+            degree.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "degree"))
+        labels = near.groupBy("a").agg(
+            F.max_by("b", F.col("degree") * F.lit(1 << 32) + F.crc32(F.col("b").cast("string"))).alias("component"))
+        members = members.select("bucket", "doc_id").join(labels.withColumnRenamed("a", "doc_id").hint("merge"), "doc_id", "left").select(
+            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        mixed_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        members = stored(members.join(mixed_.select("bucket").hint("merge"), "bucket", "left_semi"), "members")
+    # From here on, components are those of all links so far.
+    labels = components(links).withColumnRenamed("node", "doc_id")
+    members = stored(
+        members.select("bucket", "doc_id").join(labels.hint("merge"), "doc_id", "left").select(
+            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    mixed_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members = members.join(mixed_.select("bucket").hint("merge"), "bucket", "left_semi")
+    pairs = _compatible(members.groupBy("doc_id").agg(F.min("component").alias("component")), texts, threshold)
+    return links.unionByName(verified(pairs, signatures, texts, threshold))
+
+
+def _compatible(members, texts, threshold):
+    """Pairs of different components that may be similar, by exact prefix and position bounds.
+
+    Sets are ordered by the frequency of their shingles. Similar sets of sizes n and m share at least
+    t / (1 + t) * (n + m) shingles, so they share one early enough in both orders that this many can
+    still follow. Copies with many edits of their own start with shingles nobody else has.
+    """
+    t = threshold / 100
+    rows = texts.join(members.hint("merge"), "doc_id").select("doc_id", "component", "text").mapInArrow(
+        _shingle_rows, "doc_id long, component long, n int, shingle long")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Shingles of one document come first in its order and join with nothing: their number is enough.
+    shared = rows.join(often.hint("merge"), "shingle")
+    order = Window.partitionBy("doc_id").orderBy("often", "shingle")
+    placed = shared.withColumn("at", F.row_number().over(order)).withColumn(
+        "at", F.col("at") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    early = stored(placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).select(
+        "doc_id", "component", "n", "shingle", "at"), "prefixes")
+    other = early.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "at")])
+    most = 1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    return early.join(other.hint("merge"), "shingle").where(
+        (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
+        & (most >= F.lit(t / (1 + t)) * (F.col("n") + F.col("n_b")) - 1e-9)
+    ).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        sets = [s for s, _ in shingle_sets(batch.column("text"))]
+        sizes = [len(s) for s in sets]
+        repeat = lambda c: np.repeat(batch.column(c).to_numpy(), sizes)
+        for i in range(0, max(1, sum(sizes)), 1 << 17):
+            some = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(repeat("doc_id")[some]), pa.array(repeat("component")[some]),
+                 pa.array(np.repeat(sizes, sizes)[some].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)[some])],
+                ["doc_id", "component", "n", "shingle"])
 
 
 # --- verification --------------------------------------------------------------------------------
@@ -208,11 +243,11 @@ def verified(pairs, signatures, texts, threshold):
     """Pairs (a, b) that are similar: Bayesian pruning of signatures, then full sets."""
     sides = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("signature_a"))
     other = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("signature_b"))
-    survivors = pairs.join(sides, "a").join(other, "b").select("a", "b", "signature_a", "signature_b").mapInArrow(
+    survivors = pairs.join(sides.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(
         partial(_plausible, least=least_agreements(threshold / 100)), "a long, b long")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return survivors.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+    return survivors.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
         partial(_similar, threshold=threshold), "a long, b long").distinct()
 
 

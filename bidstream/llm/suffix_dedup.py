@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from bidstream.llm.tables import blocked, ship
 from bidstream.llm.texts import slices
@@ -59,11 +60,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated = seen.repartition(count, "hash").mapInArrow(_repeated, "block int, hash long")
     places = by_block.cogroup(repeated.groupBy("block")).applyInArrow(partial(_places, length=length), _PLACE)
     judged = places.repartition(count, "hash").mapInArrow(partial(_judged, length=length), _JUDGED)
-    rest = rows.schema["rest"].dataType.simpleString()
-    done = by_block.cogroup(judged.groupBy("block")).applyInArrow(
-        partial(_cleaned, length=length),
-        f"rest {rest}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary",
-    )
+    out = StructType([StructField("rest", rows.schema["rest"].dataType)])
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "binary")):
+        out = out.add(name, kind)
+    done = by_block.cogroup(judged.groupBy("block")).applyInArrow(partial(_cleaned, length=length), out)
     return done.select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 

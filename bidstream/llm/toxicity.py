@@ -52,29 +52,37 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train: Column, label: str
 
 
 def train_model(rows):
-    """Dictionaries and calibration from (text, label) rows; None if a label is missing."""
-    import zstandard
-
+    """Dictionaries and calibration from (text, label) rows; only a prior if a label is missing."""
     texts = {value: [_lowered(t) for t, y in rows if y == value] for value in (0, 1)}
     if not texts[0] or not texts[1]:
         return {"prior": float(bool(texts[1]))}
-    spaces = random.Random(1)
-    ordinary = [w for t in texts[0] for w in _windows(t, WINDOW)]
-    spaces.shuffle(ordinary)
-    marked = _marked(texts[1], texts[0])
-    toxic = [b" " + b" ".join(w for w in t.split() if w in marked) + b" " for t in texts[1]]
-    spaces.shuffle(toxic)
-    model = {
-        "ordinary": _dictionary(zstandard, ordinary[:40_000], ORDINARY_BYTES, 32),
-        "toxic": _dictionary(zstandard, toxic, TOXIC_BYTES, 16),
-    }
-    measure = measurer(model)
-    x = np.array([measure(t) for kind in (0, 1) for t in texts[kind]])
-    y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
-    model["calibration"] = fit(x, y)
+    model = _dictionaries(texts[0], texts[1])
+    # Calibrated on texts that the dictionaries in use have not seen: two halves, crosswise.
+    x, y = [], []
+    for half in (0, 1):
+        measure = measurer(_dictionaries(texts[0][half::2] or texts[0], texts[1][half::2] or texts[1]))
+        for kind in (0, 1):
+            x += [measure(t) for t in texts[kind][1 - half::2]]
+            y += [float(kind)] * len(texts[kind][1 - half::2])
+    model["calibration"] = fit(np.array(x), np.array(y))
     return model
 
 
+def _dictionaries(ordinary, toxic):
+    import zstandard
+
+    order = random.Random(1)
+    windows = [w for t in ordinary for w in _windows(t, WINDOW)]
+    order.shuffle(windows)
+    marked = _marked(toxic, ordinary)
+    reduced = [b" " + b" ".join(w for w in t.split() if w in marked) + b" " for t in toxic]
+    order.shuffle(reduced)
+    return {
+        "ordinary": _dictionary(zstandard, windows[:40_000], ORDINARY_BYTES, 32),
+        "toxic": _dictionary(zstandard, reduced, TOXIC_BYTES, 16),
+    }
+
+
 def _lowered(text) -> bytes:
     return (text or "").encode().translate(_LOWER)
 
@@ -86,7 +94,7 @@ def _windows(data: bytes, stride: int = STRIDE):
 def _marked(toxic, ordinary):
     """Words of toxic documents that ordinary ones lack."""
     inside, outside = (collections.Counter(w for t in texts for w in set(t.split())) for texts in (toxic, ordinary))
-    least = max(2, SUPPORT * len(toxic))
+    least = max(4, SUPPORT * len(toxic))
     return {w for w, n in inside.items() if n >= least and n / len(toxic) > RATIO * (outside[w] + 0.5) / len(ordinary)}
 
 

@@ -25,9 +25,9 @@ class Params:
     watermark_delay: str = "0 seconds"
     # Upper bound of ``expires - date_time``; lets a stream drop old join state.
     max_auction_length: str = "1 hour"
-    # Streams only: how far apart in time two rows of an otherwise unbounded join may be.
-    # None keeps all join state for ever.
-    join_horizon: str | None = "30 days"
+    # Streams only: how far apart in time two rows of an otherwise unbounded join may be. Given
+    # one, pairs further apart are lost; None, as defined, keeps all join state for ever.
+    join_horizon: str | None = None
     # Streams only: parts that the matches of one join key are spread over.
     join_salts: int = 4
     # Largest side table that is shipped whole to every executor (two short columns a row).

@@ -15,7 +15,6 @@ SETTINGS = {
 }
 
 _TARGET_PARTITION_BYTES = 64 << 20  # of stored, compressed input
-_MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
@@ -36,4 +35,4 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
 def shuffle_partitions(input_bytes: int, cores: int) -> int:
     wanted = -(-input_bytes // _TARGET_PARTITION_BYTES)
-    return min(max(wanted, cores), _MAX_SHUFFLE_PARTITIONS)
+    return max(wanted, cores)

@@ -65,7 +65,9 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
     for number, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         for name, rows in tables.items():
             at = F.unix_micros(_TIME[name])
-            part = rows.where((at >= begin) & (at < end)).select(*_SCHEMA[name].fieldNames())
+            mine = (at >= begin) & (at < end)
+            mine = mine | at.isNull() if number == 0 else mine
+            part = rows.where(mine).select(*_SCHEMA[name].fieldNames())
             _write(part.repartition(files), f"{path}/{name}/data-{number}")
     for number, moment in enumerate(_CLOSING_TIMES):
         for name in tables:

@@ -58,10 +58,9 @@ def test_processing_time_counts_every_bid(spark, staged):
     assert answer.groupBy().sum("bid_count").first()[0] == 6000
 
 
-def test_unbounded_join_is_opt_in(spark, staged):
-    p = P.but(join_horizon=None)
-    answer, _, _ = replay("q3", staged, spark, p)
-    assert same(answer, CATALOG["q3"](from_warehouse(spark, SF), p))
+def test_join_is_unbounded_unless_a_horizon_is_given(spark, staged):
+    answer, _, _ = replay("q3", staged, spark, P)
+    assert same(answer, CATALOG["q3"](from_warehouse(spark, SF), P))
     none = P.but(join_horizon="1 second")
     assert replay("q3", staged, spark, none)[0].count() < answer.count()
 

@@ -58,7 +58,7 @@ def replay(spark, args):
         def inserted():
             return result(form, tables, spark, f"{folder}/store", p).count() if table else None
 
-        measured.append(run_and_measure(name, begin, args.timeout, expected.get(name), inserted))
+        measured.append(run_and_measure(name, begin, args.stall, expected.get(name), inserted))
     content = report("spark", spark.sparkContext.master, args.dataset, {}, stats, args.sink, measured)
     print(markdown(content))
     if args.report:
@@ -81,7 +81,7 @@ def parser():
     three.add_argument("--dataset", required=True)
     three.add_argument("--queries", default=DEFAULT_QUERIES)
     three.add_argument("--sink", choices=("table", "discard"), default="table")
-    three.add_argument("--timeout", type=float, default=600)
+    three.add_argument("--stall", type=float, help="stop after so many seconds without progress")
     three.add_argument("--files-per-trigger", type=int)
     three.add_argument("--report")
     return top

@@ -12,6 +12,7 @@ from bidstream.functions.text import (
     register_sql_functions,
 )
 from bidstream.functions.times import (
+    common_slice,
     day_of,
     hop_starts,
     micros_of,
@@ -26,6 +27,6 @@ from bidstream.functions.times import (
 __all__ = [
     "channel_code", "channel_id", "count_char",
     "has_channel_id", "is_named", "matched_group", "path_part", "path_part_or_null",
-    "register_sql_functions", "day_of", "hop_starts", "micros_of", "minute_number", "minute_of",
+    "register_sql_functions", "common_slice", "day_of", "hop_starts", "micros_of", "minute_number", "minute_of",
     "minute_text", "part_of_day", "seconds_of", "slice_of",
 ]

@@ -23,8 +23,9 @@ class Params:
     session_gap: str = "10 seconds"
     side_rows: int = 10_000
     watermark_delay: str = "0 seconds"
-    # Upper bound of ``expires - date_time``; lets a stream drop old join state.
-    max_auction_length: str = "1 hour"
+    # Streams only: upper bound of ``expires - date_time``. Given one, old auctions leave the join
+    # state and a longer auction fails the query; None, as defined, keeps them all.
+    max_auction_length: str | None = None
     # Streams only: how far apart in time two rows of an otherwise unbounded join may be. Given
     # one, pairs further apart are lost; None, as defined, keeps all join state for ever.
     join_horizon: str | None = None

@@ -18,13 +18,14 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidstream.functions import day_of, minute_number, minute_text, slice_of
+from bidstream.functions import slice_of
 from bidstream.operators import best_match
 from bidstream.params import Params
 from bidstream.plans import CATALOG
 from bidstream.plans import reports as R
+from bidstream.plans.joins import average_final
 from bidstream.plans.ranking import last_bids, seller_average, top_bids
-from bidstream.plans.windows import highest_bids, hot_items
+from bidstream.plans.windows import busiest, highest_bids
 from bidstream.sources.events import with_watermarks
 from bidstream.sources.tables import Tables
 
@@ -50,6 +51,11 @@ def _interval(text):
     return F.expr(f"interval {text}")
 
 
+def _timed(t, p, bound):
+    """Event time is declared only where ``bound`` lets Spark drop state: it also drops late rows."""
+    return t if bound is None else with_watermarks(t, p.watermark_delay)
+
+
 def _near(left, right, horizon):
     if horizon is None:
         return F.lit(True)
@@ -72,6 +78,7 @@ def _joined(many, one, equal, condition, salts):
 
 
 def _q3(t, p):
+    t = _timed(t, p, p.join_horizon)
     sellers = t.person.where(F.col("state").isin(*p.states)).select(
         F.col("id").alias("person_id"), "name", "city", "state",
         F.col("date_time").alias("registered"),
@@ -84,6 +91,7 @@ def _q3(t, p):
 
 
 def _q20(t, p):
+    t = _timed(t, p, p.join_horizon)
     auction = t.auction.where(F.col("category") == p.category).select(
         "id", "item_name", "description", "initial_bid", "reserve",
         F.col("date_time").alias("auction_date_time"), "expires", "seller", "category",
@@ -100,50 +108,52 @@ def _q20(t, p):
 
 
 def _matched(t, p, columns):
-    """Bids while their auction is open; the constant bound lets Spark drop old auctions."""
+    """Bids while their auction is open.
+
+    A given ``max_auction_length`` lets Spark drop old auctions. An auction open for longer then
+    fails the query: its later bids would be lost.
+    """
+    t = _timed(t, p, p.max_auction_length)
     auction = t.auction.select(*columns)
     bid = t.bid.select("auction", "bidder", "price", "ts")
-    return _joined(
-        bid, auction, F.col("auction") == F.col("id"),
-        F.col("ts").between(F.col("date_time"), F.col("expires"))
-        & (F.col("ts") <= F.col("date_time") + _interval(p.max_auction_length)),
-        p.join_salts,
-    )
-
-
-def _winners(t, p, columns, highest=True):
-    return best_match(_matched(t, p, columns), columns, ["id", "date_time"], highest)
+    while_open = F.col("ts").between(F.col("date_time"), F.col("expires"))
+    if p.max_auction_length is not None:
+        last = F.col("date_time") + _interval(p.max_auction_length)
+        too_long = F.raise_error(F.lit(f"an auction is open for more than {p.max_auction_length}"))
+        auction = auction.withColumn(
+            "expires", F.when(F.col("expires") > last, too_long).otherwise(F.col("expires"))
+        )
+        while_open &= F.col("ts") <= last
+    return _joined(bid, auction, F.col("auction") == F.col("id"), while_open, p.join_salts)
 
 
-def _q4(t, p):
-    matched = _matched(t, p, ["id", "category", "date_time", "expires"])
-    return matched.groupBy("id", "category", "date_time").agg(F.max("price").alias("final"))
+def _finals(price):
+    def highest(rows, p):
+        return rows.groupBy("id", "category").agg(F.max(price).alias("final"))
 
+    return highest
 
-def _q4_sums(finals):
-    return finals.groupBy("category").agg(
-        F.sum("final").alias("total"), F.count("final").alias("n")
-    )
 
+def _winners(columns, highest, answer):
+    """The best bid so far of each auction per micro-batch; the best of those is the winner."""
 
-def _q4_merge(stored, p):
-    return stored.groupBy("category").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    def best(rows, p):
+        return best_match(rows, columns, ["id"], highest)
 
+    def merge(stored, p):
+        return best(stored.withColumnRenamed("bid_date_time", "ts"), p)
 
-def _q4_average(stored, p):
-    return _q4_merge(stored, p).select(
-        "category", (F.col("total").cast("double") / F.col("n")).alias("avg")
+    return Form(
+        lambda t, p: _matched(t, p, columns), batch=best, merge=merge, declares=True,
+        view=lambda stored, p: answer(merge(stored, p), p),
     )
 
 
 def _q6(highest):
-    columns = ["id", "seller", "date_time", "expires"]
-    return Form(
-        build=lambda t, p: _winners(t, p, columns, highest).select(
-            "id", "seller", "price", "bid_date_time"
-        ),
-        view=seller_average,
-    )
+    def average(closed, p):
+        return seller_average(closed.select("id", "seller", "price", "bid_date_time"), p)
+
+    return _winners(["id", "seller", "date_time", "expires"], highest, average)
 
 
 _Q9_COLUMNS = [
@@ -206,41 +216,6 @@ def _q12(t, p):
     return CATALOG["q12"](Tables(clocked.withWatermark("p_time", p.watermark_delay)), p, "p_time")
 
 
-def _by_day(t, p, groups):
-    """First of two chained aggregates: one state row per (day, group, counted id)."""
-    ids = F.explode(
-        F.array(
-            F.struct(F.lit("bidder").alias("kind"), F.col("bidder").alias("id")),
-            F.struct(F.lit("auction").alias("kind"), F.col("auction").alias("id")),
-        )
-    ).alias("counted")
-    rows = t.bid.select("ts", "price", *groups, minute_number("ts").alias("minute"), ids)
-    return rows.groupBy(
-        F.window("ts", "1 day").alias("w"), *groups, F.col("counted.kind").alias("kind"),
-        F.col("counted.id").alias("id"),
-    ).agg(F.max("minute").alias("minute"), *R.band_counts(p))
-
-
-def _q15(t, p):
-    daily = _by_day(t, p, []).groupBy("w").agg(*R.band_report([]))
-    return daily.select(day_of("w.start").alias("day"), *daily.columns[1:])
-
-
-def _q16(t, p):
-    daily = _by_day(t, p, ["channel"]).groupBy("w", "channel").agg(
-        *R.band_report([minute_text(F.max("minute")).alias("minute")])
-    )
-    return daily.select("channel", day_of("w.start").alias("day"), *daily.columns[2:])
-
-
-def _q17(t, p):
-    daily = t.bid.groupBy("auction", F.window("ts", "1 day").alias("w")).agg(
-        *R.band_counts(p), *R.price_summary()[1:]
-    )
-    rows = daily.select("auction", F.to_date("w.start").alias("day"), *daily.columns[2:])
-    return R.AUCTION_DAY_REPORT.finish(rows)
-
-
 def _report(report, columns):
     return Form(
         build=lambda t, p: t.bid.select(*columns),
@@ -266,26 +241,31 @@ _STATELESS = (
 
 FORMS: dict[str, Form] = {
     **{name: Form(CATALOG[name]) for name in _STATELESS},
-    "q3": Form(_q3),
+    "q3": Form(_q3, declares=True),
     "q4": Form(
-        _q4, batch=lambda rows, p: _q4_sums(rows), merge=_q4_merge, view=_q4_average,
+        lambda t, p: _matched(t, p, ["id", "category", "date_time", "expires"]),
+        batch=_finals("price"), merge=_finals("final"), declares=True,
+        view=lambda stored, p: average_final(_finals("final")(stored, p)),
+    ),
+    "q5": Form(
+        _q5, batch=lambda rows, p: busiest(rows), reread=True,
+        view=lambda stored, p: stored.select("auction", "num"),
     ),
-    "q5": Form(_q5, batch=lambda rows, p: hot_items(rows), reread=True),
     "q6": _q6(highest=False),
     "q6_winning": _q6(highest=True),
     "q7": Form(_q7, batch=_q7_highest, declares=True, reread=True),
     "q8": Form(CATALOG["q8"]),
-    "q9": Form(lambda t, p: _winners(t, p, _Q9_COLUMNS)),
+    "q9": _winners(_Q9_COLUMNS, True, lambda closed, p: closed),
     "q11": Form(_q11),
     "q12": Form(
         _q12, mode="update", declares=True,
         merge=lambda stored, p: _newest_counts(stored),
         view=lambda stored, p: _newest_counts(stored),
     ),
-    "q15": Form(_q15),
-    "q16": Form(_q16),
+    "q15": _report(R.DAY_REPORT, ["ts", "price", "bidder", "auction"]),
+    "q16": _report(R.CHANNEL_DAY_REPORT, ["ts", "channel", "price", "bidder", "auction"]),
     "q16_r": _report(R.CHANNEL_REPORT, ["channel", "price", "bidder", "auction"]),
-    "q17": Form(_q17),
+    "q17": _report(R.AUCTION_DAY_REPORT, ["ts", "auction", "price"]),
     "q17_r": _report(R.AUCTION_REPORT, ["auction", "bidder", "price"]),
     "q18": Form(
         lambda t, p: t.bid.select(*_BID_COLUMNS),
@@ -299,7 +279,7 @@ FORMS: dict[str, Form] = {
         merge=lambda stored, p: top_bids(stored, p).drop("rank_number"),
         view=lambda stored, p: top_bids(stored, p).withColumnRenamed("ts", "date_time"),
     ),
-    "q20": Form(_q20),
+    "q20": Form(_q20, declares=True),
 }
 
 

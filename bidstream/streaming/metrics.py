@@ -23,37 +23,70 @@ METRICS = StructType(
 )
 
 
-def measure(name, query, seconds, expected=None, inserted=None) -> dict:
+class Tally:
+    """Rows and batches of a query, summed as it runs: they hold beyond what Spark retains."""
+
+    def __init__(self, query):
+        self.query, self.rows, self.batches, self.state_rows, self._last = query, 0, 0, 0, -1
+
+    def update(self):
+        for p in self.query.recentProgress:
+            # Idle triggers report too, under the number of the batch to come.
+            if p["batchId"] > self._last and "addBatch" in p["durationMs"]:
+                self._last = p["batchId"]
+                self.rows += p["numInputRows"]
+                self.batches += 1
+                self.state_rows = sum(o["numRowsTotal"] for o in p["stateOperators"])
+        return self
+
+
+def measure(name, query, seconds, expected=None, inserted=None, tally=None) -> dict:
     """Figures of a finished query, from its own progress records."""
-    progress = query.recentProgress
-    rows = sum(p["numInputRows"] for p in progress)
-    operators = progress[-1]["stateOperators"] if progress else []
+    tally = (tally or Tally(query)).update()
     return {
         "query": name,
         "state": outcome(query, expected, inserted),
-        "input_rows": rows,
+        "input_rows": tally.rows,
         "expected_rows": expected,
         "inserted_rows": inserted,
-        "batches": len(progress),
-        "state_rows": sum(o["numRowsTotal"] for o in operators),
+        "batches": tally.batches,
+        "state_rows": tally.state_rows,
         "replay_sec": seconds,
-        "throughput_rps": rows / seconds if seconds > 0 else None,
+        "throughput_rps": tally.rows / seconds if seconds > 0 else None,
     }
 
 
-def run_and_measure(name, begin, timeout, expected=None, inserted=lambda: None) -> dict:
-    """Run ``begin()`` until its query ends by itself, or stop it after ``timeout`` seconds."""
+def run_and_measure(name, begin, stall=None, expected=None, inserted=lambda: None) -> dict:
+    """Run ``begin()`` until its query ends by itself.
+
+    With ``stall``, a query is stopped after so many seconds without progress, however long it has
+    run; neither a finished batch nor a finished task is no progress.
+    """
     started = time.monotonic()
     query = begin()
+    tally = Tally(query)
     try:
-        ended = query.awaitTermination(timeout)
+        ended = _ended(query, tally, stall)
     except StreamingQueryException:
-        return measure(name, query, time.monotonic() - started, expected)
+        return measure(name, query, time.monotonic() - started, expected, tally=tally)
     seconds = time.monotonic() - started
     if not ended:
         query.stop()
-        return measure(name, query, seconds, expected) | {"state": "timeout"}
-    return measure(name, query, seconds, expected, inserted())
+        return measure(name, query, seconds, expected, tally=tally) | {"state": "timeout"}
+    return measure(name, query, seconds, expected, inserted(), tally)
+
+
+def _ended(query, tally, stall) -> bool:
+    tracker = SparkSession.getActiveSession().sparkContext.statusTracker()
+    seen, since = None, time.monotonic()
+    while not query.awaitTermination(1):
+        stages = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+        now = tally.update().batches, sorted((s.stageId, s.numCompletedTasks) for s in stages if s)
+        if now != seen:
+            seen, since = now, time.monotonic()
+        elif stall is not None and time.monotonic() - since > stall:
+            return False
+    return True
 
 
 def outcome(query, expected, inserted) -> str:

@@ -16,24 +16,23 @@ from bidstream.streaming.run import result, start
 
 _TIME = {"bid": "ts", "auction": "date_time", "person": "date_time"}
 _SCHEMA = {"bid": BID, "auction": AUCTION, "person": PERSON}
-# Closing rows lie far after any data and carry ids that match nothing.
-_CLOSING_TIMES = ("2900-01-01", "2900-02-01")
-_CLOSING_DAY = "2900-01-01"
+# Closing rows lie years after all data, so their event time tells them apart, and carry ids that
+# match nothing.
+_YEAR = 365 * 86_400_000_000
 _CLOSING_IDS = {"bid": {"auction": -2, "bidder": -2, "price": 0}, "auction": {"id": -1, "seller": -3},
                 "person": {"id": -4}}
 
-# Forms that finish by event time, with the condition that tells data from closing rows.
-CLOSING = {
-    "q4": "category IS NOT NULL", "q5": "auction >= 0", "q6": "id >= 0", "q6_winning": "id >= 0",
-    "q7": "auction >= 0", "q8": "id >= 0", "q9": "id >= 0", "q11": "bidder >= 0",
-    "q15": f"day < '{_CLOSING_DAY}'", "q16": f"day < '{_CLOSING_DAY}'",
-    "q17": f"day < '{_CLOSING_DAY}'",
-}
+# Forms that finish by event time, with the column of their stored rows that holds it.
+CLOSING = {"q5": "starttime", "q7": "date_time", "q8": "starttime", "q11": "session_start"}
 
 
 class Stage(NamedTuple):
     path: str
     files: int  # files per slice: one slice is one micro-batch
+    end: int  # microseconds; all data lie before, all closing rows after
+
+    def data(self, column: str):
+        return F.col(column) < F.timestamp_micros(F.lit(self.end))
 
     def tables(self, spark: SparkSession, closing: bool) -> Tables:
         return Tables(**{name: self._stream(spark, name, closing) for name in _TIME})
@@ -59,8 +58,8 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
         rows.agg(F.min(F.unix_micros(_TIME[name])), F.max(F.unix_micros(_TIME[name]))).first()
         for name, rows in tables.items()
     ]
-    low = min(s[0] for s in spans if s[0] is not None)
-    high = max(s[1] for s in spans if s[1] is not None)
+    low = min((s[0] for s in spans if s[0] is not None), default=0)
+    high = max((s[1] for s in spans if s[1] is not None), default=0)
     cuts = [low + (high - low) * n // slices for n in range(slices)] + [high + 1]
     for number, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         for name, rows in tables.items():
@@ -69,10 +68,12 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
             mine = mine | at.isNull() if number == 0 else mine
             part = rows.where(mine).select(*_SCHEMA[name].fieldNames())
             _write(part.repartition(files), f"{path}/{name}/data-{number}")
-    for number, moment in enumerate(_CLOSING_TIMES):
+    end = high + _YEAR
+    for number in range(2):
         for name in tables:
+            moment = end + (1 + number) * _YEAR
             _write(_closing(spark, name, moment, files), f"{path}/{name}/end-{number}")
-    return Stage(path, files)
+    return Stage(path, files, end)
 
 
 def _write(rows: DataFrame, path: str) -> None:
@@ -85,7 +86,7 @@ def _closing(spark, name, moment, files):
     def value(field):
         # Every time column is set: Spark may drop rows with a NULL one ahead of the watermark.
         if isinstance(field.dataType, TimestampType):
-            return F.timestamp_seconds(F.unix_timestamp(F.lit(moment), "yyyy-MM-dd"))
+            return F.timestamp_micros(F.lit(moment))
         return F.lit(fixed.get(field.name))
 
     one_per_file = spark.range(0, files, 1, files)
@@ -103,5 +104,6 @@ def replay(name: str, staged: Stage, spark: SparkSession, p: Params = Params()):
     query = start(form, tables, f"{folder}/store", f"{folder}/checkpoint", p)
     query.awaitTermination()
     seconds = time.monotonic() - began
-    answer = result(form, tables, spark, f"{folder}/store", p, keep=CLOSING.get(name))
+    keep = staged.data(CLOSING[name]) if name in CLOSING else None
+    answer = result(form, tables, spark, f"{folder}/store", p, keep=keep)
     return answer, query, seconds

@@ -1,6 +1,7 @@
 """Streams over staged time slices give what the batch query gives over the whole table."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
@@ -8,7 +9,7 @@ from bidstream import workspace
 from bidstream.dataset import dataset_stats, expected_rows
 from bidstream.params import Params
 from bidstream.plans import CATALOG
-from bidstream.schemas import BID
+from bidstream.schemas import AUCTION, BID, PERSON
 from bidstream.sources.events import stream_bids
 from bidstream.sources.tables import Tables, from_warehouse
 from bidstream.streaming import FORMS, compact, result, start
@@ -82,29 +83,71 @@ def test_restart_continues_and_repeats_nothing(spark, tmp_path):
     assert merged <= spark.read.parquet(f"{folder}/store").count()
 
 
-def test_late_rows_are_dropped_after_the_delay(spark, tmp_path):
-    def feed(number, *texts):
+def test_reports_count_late_rows(spark, tmp_path):
+    names = ("q15", "q16", "q17")
+
+    def feed(*texts):
         rows = [(at(t), 1, 1, 5, "c", "u", "e") for t in texts]
         spark.createDataFrame(rows, BID).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         tables = Tables(spark.readStream.schema(BID).parquet(f"{tmp_path}/in"))
-        for delay in ("0 seconds", "1 hour"):
-            p = Params(watermark_delay=delay)
-            folder = f"{tmp_path}/{delay.replace(' ', '')}"
-            start(FORMS["q17"], tables, f"{folder}/store", f"{folder}/cp", p).awaitTermination()
+        for name in names:
+            start(FORMS[name], tables, f"{tmp_path}/{name}/store", f"{tmp_path}/{name}/cp").awaitTermination()
         return tables
 
-    feed(0, "2024-01-01T10:00:00")
-    feed(1, "2024-01-02T00:10:00")          # closes the first day unless an hour late is allowed
-    feed(2, "2024-01-01T23:59:00")          # late
-    feed(3, "2024-01-09T00:00:00")
-    tables = feed(4, "2024-01-10T00:00:00")
-    bids = {}
-    for delay in ("0 seconds", "1 hour"):
-        p = Params(watermark_delay=delay)
-        frame = result(FORMS["q17"], tables, spark, f"{tmp_path}/{delay.replace(' ', '')}/store", p)
-        bids[delay] = dict(values(frame, "day", "total_bids"))
-    assert bids["0 seconds"]["2024-01-01"] == 1
-    assert bids["1 hour"]["2024-01-01"] == 2
+    feed("2024-01-01T10:00:00")
+    feed("2024-01-02T00:10:00")
+    tables = feed("2024-01-01T23:59:00")     # its day has passed
+    for name in names:
+        got = result(FORMS[name], tables, spark, f"{tmp_path}/{name}/store")
+        assert same(got, CATALOG[name](Tables(spark.read.parquet(f"{tmp_path}/in"))))
+        assert dict(values(got, "day", "total_bids")) == {"2024-01-01": 2, "2024-01-02": 1}
+
+
+_AWKWARD = ("q0", "q3", "q4", "q5", "q6", "q6_winning", "q7", "q8", "q9", "q11", "q15", "q16", "q17", "q20")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Long auctions, an id used twice, rows far apart in time, NULL and negative keys, no time."""
+    day = "2024-01-0{}T0{}:00:00".format
+    person = [(1, "n", "m", "cc", "c", "or", at(day(1, 0)), "e"), (None, "n", "m", "cc", "c", "or", at(day(1, 0)), "e"),
+              (-4, "n", "m", "cc", "c", "id", None, "e")]
+    auction = [
+        (1, "i", "d", 1, 1, at(day(1, 0)), at(day(1, 2)), 1, 10, "e"),
+        (1, "i", "d", 1, 1, at(day(1, 1)), at(day(9, 2)), 1, 10, "f"),
+        (2, "i", "d", 1, 1, at(day(1, 0)), at(day(8, 0)), -4, None, "e"),
+        (-2, "i", "d", 1, 1, at(day(1, 0)), at(day(1, 3)), 1, 11, "e"),
+        (None, "i", "d", 1, 1, at(day(1, 0)), at(day(1, 3)), None, 10, "e"),
+        (9, "i", "d", 1, 1, at("2024-08-01T00:00:00"), at("2024-08-01T02:00:00"), 1, 10, "e"),
+        (3, "i", "d", 1, 1, None, at(day(1, 3)), 1, 10, "e"),
+    ]
+    bid = [
+        (at(day(1, 0)), 1, 5, 10, "c", "u", "e"), (at("2024-01-01T01:30:00"), 1, 6, 99, "c", "u", "e"),
+        (at(day(7, 0)), 2, 6, 7, "c", "u", "e"), (at(day(1, 1)), 2, None, 3, "c", "u", "e"),
+        (at(day(1, 2)), None, -2, 4, "c", "u", "e"), (at(day(1, 2)), -2, -2, 4, None, "u", "e"),
+        (None, 1, 5, 12, "c", "u", "e"), (at("2024-08-01T01:00:00"), 9, 1, 0, "c", "u", "e"),
+        (at(day(1, 2)), 1, 7, None, "c", "u", "e"),
+    ]
+    tables = Tables(*[spark.createDataFrame(rows, schema) for rows, schema in ((bid, BID), (auction, AUCTION), (person, PERSON))])
+    return tables, stage(tables, workspace.fresh(spark, "awkward"), slices=3, files=2)
+
+
+@pytest.mark.parametrize("name", _AWKWARD)
+def test_equals_batch_on_awkward_rows(spark, awkward, name):
+    tables, staged_ = awkward
+    p = registry.HOURLY if name == "q8" else P
+    answer, _, _ = replay(name, staged_, spark, p)
+    assert same(answer, CATALOG[name](tables, p))
+
+
+def test_an_auction_beyond_the_bound_fails_the_query(spark, awkward):
+    with pytest.raises(StreamingQueryException, match="open for more than"):
+        replay("q9", awkward[1], spark, P.but(max_auction_length="1 hour"))
+
+
+def test_bounded_auctions_give_the_same(spark, staged):
+    answer, _, _ = replay("q4", staged, spark, P.but(max_auction_length="1 day"))
+    assert same(answer, CATALOG["q4"](from_warehouse(spark, SF), P))
 
 
 def test_metrics_and_report(spark, staged, tmp_path):
@@ -143,11 +186,20 @@ def test_failed_and_slow_queries_are_reported(spark, tmp_path):
 
     assert run_and_measure("q0_r", begin, 60)["state"] == "failed"
 
-    def endless():
-        rows = spark.readStream.format("rate").load()
+    def waiting():
+        (tmp_path / "empty").mkdir()
+        rows = spark.readStream.schema(BID).parquet(str(tmp_path / "empty"))
         return rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "r")).start()
 
-    assert run_and_measure("rate", endless, 2)["state"] == "timeout"
+    assert run_and_measure("waiting", waiting, 2)["state"] == "timeout"
+
+
+def test_a_query_that_goes_on_is_not_stopped(spark, staged, tmp_path):
+    def begin():
+        return start(FORMS["q16_r"], staged.tables(spark, False), str(tmp_path / "store"), str(tmp_path / "cp"), P)
+
+    measured = run_and_measure("q16_r", begin, 5)
+    assert (measured["state"], measured["input_rows"], measured["batches"]) == ("finished", 6000, 3)
 
 
 def test_repeated_rows(spark):

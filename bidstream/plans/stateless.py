@@ -19,7 +19,7 @@ from bidstream.sources.tables import Tables
 
 QUERIES = (
     "q0", "q0_r", "q1", "q1_r", "q1_r_both", "q2", "q2_r", "q10", "q14", "q14_r",
-    "q21", "q21_r", "q21_r_anywhere", "q22", "q22_r",
+    "q21", "q21_r", "q21_r_anywhere", "q21_r_timed", "q22", "q22_r", "q22_r_timed",
 )
 
 def q0(t: Tables, p: Params = Params()) -> DataFrame:
@@ -101,6 +101,11 @@ def q21_r_anywhere(t: Tables, p: Params = Params()) -> DataFrame:
     return _with_channel_code(t, anchored=False)
 
 
+def q21_r_timed(t: Tables, p: Params = Params()) -> DataFrame:
+    """As q21_r_anywhere, with the time of the bid."""
+    return _with_channel_code(t, False, "ts")
+
+
 def q22(t: Tables, p: Params = Params()) -> DataFrame:
     """Three URL directories; '' where the URL is too short."""
     return t.bid.select(
@@ -117,6 +122,15 @@ def q22_r(t: Tables, p: Params = Params()) -> DataFrame:
     )
 
 
+def q22_r_timed(t: Tables, p: Params = Params()) -> DataFrame:
+    """Three URL directories, '' where the URL is too short, with the time of the bid."""
+    return t.bid.select(
+        "auction", "bidder", "price", "channel",
+        *[path_part("url", 3 + n, last=6).alias(f"dir{n}") for n in (1, 2, 3)],
+        "ts",
+    )
+
+
 def _converted(p):
     return (F.lit(p.dollar_rate) * F.col("price")).cast("decimal(24,3)")
 
@@ -129,9 +143,9 @@ def _watched(t, p):
     return t.bid.where(F.col("auction").isin(*p.watched_auctions))
 
 
-def _with_channel_code(t, anchored):
+def _with_channel_code(t, anchored, *more):
     channel, url = F.col("channel"), F.col("url")
     return t.bid.where(is_named(channel) | has_channel_id(url, anchored)).select(
         "auction", "bidder", "price", "channel",
-        channel_code(channel, url, anchored).alias("channel_id"),
+        channel_code(channel, url, anchored).alias("channel_id"), *more,
     )

@@ -7,21 +7,14 @@ from bidstream.sinks.batch import as_json_lines
 
 
 def _writer(rows: DataFrame, name: str, checkpoint: str, mode: str):
-    return (
-        rows.writeStream.queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    return writer.queryName(name) if name else writer
 
 
 def discard_stream(rows, name, checkpoint, mode="append"):
     return _writer(rows, name, checkpoint, mode).format("noop")
 
 
-def memory_table(rows, name, mode="complete"):
-    """Result kept on the driver under ``name``: for small views and for tests."""
-    return rows.writeStream.queryName(name).outputMode(mode).format("memory")
-
-
 def file_stream(rows, name, checkpoint, path, by=("date", "time")):
     """Exactly-once Parquet directories per ``by``."""
     return (
@@ -56,9 +49,19 @@ def snapshot_stream(rows, name, checkpoint, path):
 
 
 def latest_snapshot(spark, path, schema) -> DataFrame:
-    stored = spark.read.schema(f"{_ddl(schema)}, batch_id BIGINT").parquet(path)
-    newest = stored.agg(F.max("batch_id")).first()[0]
-    return stored.where(F.col("batch_id") == newest).drop("batch_id")
+    """The newest version whose writer has committed; one being written or replaced is passed over."""
+    done = _committed(spark, path)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={max(done)}")
+
+
+def _committed(spark, path) -> list[int]:
+    """Numbers of the batch directories that hold a commit marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/_SUCCESS")
+    system = marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [found.getPath().getParent().getName() for found in system.globStatus(marker)]
+    return [int(name.removeprefix("batch_id=")) for name in names]
 
 
 def upsert_stream(rows, name, checkpoint, path):

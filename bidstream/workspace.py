@@ -21,8 +21,19 @@ def root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh(spark: SparkSession, purpose: str) -> str:
-    return f"{root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(f"{root(spark)}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the folders that ``fresh`` has named in this process: no frame over them is read again."""
+    while _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def frozen(rows: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def _bucket(column, seconds):
     )
 
 
-def _channel_code(pattern, group):
-    return f"""SELECT auction, bidder, price, channel,
+def _channel_code(pattern, group, more=""):
+    return f"""SELECT auction, bidder, price, channel, {more}
       CASE lower(channel) WHEN 'apple' THEN '0' WHEN 'google' THEN '1' WHEN 'facebook' THEN '2'
         WHEN 'baidu' THEN '3' ELSE regexp_extract(url, '{pattern}', {group}) END AS channel_id
     FROM bid WHERE regexp_matches(url, '{pattern}') OR {_NAMED}"""
@@ -220,10 +220,30 @@ STATEMENTS = {
     "q21": _channel_code("(&|^)channel_id=([^&]*)", 2),
     "q21_r": _channel_code("(&|^)channel_id=([^&]*)", 2),
     "q21_r_anywhere": _channel_code("channel_id=([^&]*)", 1),
+    "q21_r_timed": _channel_code("channel_id=([^&]*)", 1, "date_time AS ts,"),
     "q22": """SELECT auction, bidder, price, channel, split_part(url, '/', 4) AS dir1,
           split_part(url, '/', 5) AS dir2, split_part(url, '/', 6) AS dir3 FROM bid""",
     "q22_r": """SELECT auction, bidder, price, channel, string_split(url, '/')[4] AS dir1,
           string_split(url, '/')[5] AS dir2, string_split(url, '/')[6] AS dir3 FROM bid""",
+    "q22_r_timed": """SELECT auction, bidder, price, channel, split_part(url, '/', 4) AS dir1,
+          split_part(url, '/', 5) AS dir2, split_part(url, '/', 6) AS dir3, date_time AS ts FROM bid""",
+    "lenient_bids": f"SELECT {_BID} FROM bid WHERE auction % 97 <> 0",
+    "quarantine": """SELECT CAST(NULL AS VARCHAR) AS key, '{"auction":' || auction || ',"bidder":' || bidder
+          || ',"price":' || price AS payload FROM bid WHERE auction % 97 = 0""",
+    "record_count": "SELECT count(*) AS records FROM bid",
+    "count_char_sql": """SELECT auction, bidder, price,
+          CAST(length(extra) - length(replace(extra, 'c', '')) AS INTEGER) AS c_counts FROM bid""",
+    "replay_metrics": """SELECT 'q0_r' AS query, count(*) AS input_rows, count(*) AS inserted_rows FROM bid
+        UNION ALL SELECT 'q22_r', count(*), count(*) FROM bid""",
+    "q12_totals": "SELECT bidder, CAST(count(*) AS BIGINT) AS bid_count FROM bid GROUP BY bidder",
+    **{name: "SELECT channel, count(*) AS bids, max(price) AS highest FROM bid GROUP BY channel"
+       for name in ("materialized_view", "upserted_view", "appended_changes")},
+}
+STATEMENTS |= {
+    "replicated_log": STATEMENTS["keyed_log"],
+    "stats_round_trip": STATEMENTS["dataset_stats"],
+    "q10_files_stream": STATEMENTS["day_files"],
+    "q12_totals_stream": STATEMENTS["q12_totals"],
 }
 
 

@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import pytest
 
+from bidstream import workspace
 from bidstream.dataset import (
     REQUIRED,
     dataset_stats,
@@ -59,3 +62,11 @@ def test_replicate(spark):
     rows = spark.range(100).select(F.concat(F.lit("p"), F.col("id") % 4).alias("key"))
     spread = replicate(rows, 4)
     assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
+
+
+def test_clear_deletes_what_was_staged(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "_made", [])
+    path = workspace.fresh(spark, "short-lived")
+    spark.range(3).write.parquet(path)
+    workspace.clear(spark)
+    assert not Path(path).exists() and not workspace._made

@@ -206,15 +206,23 @@ def _compatible(members, texts, threshold):
     still follow. Copies with many edits of their own start with shingles nobody else has.
     """
     t = threshold / 100
-    rows = texts.join(members.hint("merge"), "doc_id").select("doc_id", "component", "text").mapInArrow(
-        _shingle_rows, "doc_id long, component long, n int, shingle long")
+    early_places = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
+    sides = texts.join(members.hint("merge"), "doc_id").select("doc_id", "component", "text", F.xxhash64("text").alias("version"))
+    kind = "doc_id long, component long, version long, n int, shingle long"
+    once = sides.mapInArrow(_shingle_rows, kind).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("often"), *[F.min(c).alias(c) for c in ("doc_id", "version", "n")]).where("often = 1")
+    # Texts whose early places are all taken by shingles of their own are similar to none of the others:
+    # they go before the join.
+    alone = once.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("n")).where(F.col("own") >= early_places)
+    sides = stored(sides.join(alone.select("doc_id", "version").hint("merge"), ["doc_id", "version"], "left_anti"), "open-texts")
+    rows = sides.select("doc_id", "component", "version", "text").mapInArrow(_shingle_rows, kind).drop("version")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Shingles of one document come first in its order and join with nothing: their number is enough.
     shared = rows.join(often.hint("merge"), "shingle")
     order = Window.partitionBy("doc_id").orderBy("often", "shingle")
     placed = shared.withColumn("at", F.row_number().over(order)).withColumn(
         "at", F.col("at") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    early = stored(placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).select(
+    early = stored(placed.where(F.col("at") <= early_places).select(
         "doc_id", "component", "n", "shingle", "at"), "prefixes")
     other = early.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "at")])
     most = 1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
@@ -232,9 +240,9 @@ def _shingle_rows(batches):
         for i in range(0, max(1, sum(sizes)), 1 << 17):
             some = slice(i, i + (1 << 17))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(repeat("doc_id")[some]), pa.array(repeat("component")[some]),
+                [*[pa.array(repeat(c)[some]) for c in ("doc_id", "component", "version")],
                  pa.array(np.repeat(sizes, sizes)[some].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)[some])],
-                ["doc_id", "component", "n", "shingle"])
+                ["doc_id", "component", "version", "n", "shingle"])
 
 
 # --- verification --------------------------------------------------------------------------------

@@ -1,11 +1,13 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
-Documents are linked when the Jaccard similarity of their sets of five-word shingles reaches 0.85.
+Documents are linked when the Jaccard similarity of their sets of five-word shingles reaches
+``threshold`` per cent: 85 in op2, 80 in the pipeline.
 
 1. A sketch per document: set size, fingerprint of its words, MinHash signature.
 2. Documents of equal words become one class, represented by the smallest doc_id.
 3. Signatures are cut into bands; classes that agree in a band are candidates. At the threshold a
-   pair shares no band with probability (1 - t^ROWS)^BANDS = 8e-7.
+   pair shares no band with probability (1 - t^ROWS)^bands, at most 8e-7 at any threshold: 24 bands
+   at 0.85, 36 at 0.8.
 4. Within a bucket candidates are compared with a hub, not with each other; in a second round only
    members not yet connected to the best-linked member are, with that as hub. What buckets still hold
    of different components is compared where exact prefix and position bounds on the sets allow a
@@ -23,7 +25,7 @@ and kept. Shingles are compared as 64-bit fingerprints.
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from bidstream.llm.texts import mixed, slices
 
 THRESHOLD = 85  # per cent
 WIDTH = 5
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 24, 5  # bands at THRESHOLD and above; see bands_of
 BATCH = 24  # signature hashes compared at a time
 MISS = 1e-9
 HUB_ROUNDS = 2
@@ -54,11 +56,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     spark = docs.sparkSession
     ship(spark)
-    sketches = stored(docs.select("doc_id", "text").mapInArrow(_sketches, _SKETCH), "sketches")
+    bands = bands_of(threshold)
+    sketches = stored(docs.select("doc_id", "text").mapInArrow(partial(_sketches, hashes=bands * ROWS), _SKETCH), "sketches")
     some = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("words_a", "words_b").agg(F.min("doc_id").alias("class"))
     with_class = some.join(classes, ["words_a", "words_b"])
-    members = stored(_candidates(with_class.where("doc_id = class")), "members")
+    members = stored(_candidates(with_class.where("doc_id = class"), bands), "members")
     signatures = stored(
         some.join(members.select(F.col("doc_id")).distinct(), "doc_id").select("doc_id", "signature").dropDuplicates(["doc_id"]),
         "signatures",
@@ -85,6 +88,14 @@ def without_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> Data
     return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
 
 
+def bands_of(threshold: int) -> int:
+    """Bands that miss a pair at the threshold no more often than ``BANDS`` do at ``THRESHOLD``."""
+    if threshold >= THRESHOLD:
+        return BANDS
+    missed = [math.log1p(-(t / 100) ** ROWS) for t in (THRESHOLD, threshold)]
+    return math.ceil(BANDS * missed[0] / missed[1])
+
+
 # --- shingles and sketches -----------------------------------------------------------------------
 
 def shingle_sets(column):
@@ -108,14 +119,23 @@ def shingle_sets(column):
             yield found, h[a:b]
 
 
-def signature_of(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(_HASHES, np.iinfo(np.uint64).max, np.uint64)
+@cache
+def _functions(hashes: int):
+    """Factors and terms of so many hash functions; the first are the same for any number."""
+    more = np.random.Generator(np.random.PCG64(12)).integers(1, 1 << 63, (max(0, hashes - _HASHES), 2), dtype=np.uint64)
+    factors = np.concatenate([_FACTORS, more[:, 0] * np.uint64(2) + np.uint64(1)])[:hashes]
+    return factors[:, None], np.concatenate([_TERMS, more[:, 1]])[:hashes, None]
+
+
+def signature_of(shingles: np.ndarray, hashes: int = _HASHES) -> np.ndarray:
+    factors, terms = _functions(hashes)
+    least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
-        least = np.minimum(least, (_FACTORS[:, None] * shingles[i: i + 2048] + _TERMS[:, None]).min(axis=1))
+        least = np.minimum(least, (factors * shingles[i: i + 2048] + terms).min(axis=1))
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketches(batches):
+def _sketches(batches, hashes):
     order = np.arange(1 << 16, dtype=np.uint64)
     for batch in batches:
         sizes, first, second, signatures = [], [], [], []
@@ -127,7 +147,7 @@ def _sketches(batches):
             at = order[: len(words)]
             first.append(int(mixed(words + mixed(at)).sum().view(np.int64)) if len(words) else 0)
             second.append(int(mixed(words * np.uint64(0x9E3779B97F4A7C15) ^ mixed(at + np.uint64(1 << 40))).sum().view(np.int64)) if len(words) else 0)
-            signatures.append(signature_of(shingles).tobytes() if len(shingles) else None)
+            signatures.append(signature_of(shingles, hashes).tobytes() if len(shingles) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
              pa.array(second, pa.int64()), pa.array(signatures, pa.binary())],
@@ -137,28 +157,28 @@ def _sketches(batches):
 
 # --- candidates ----------------------------------------------------------------------------------
 
-def _candidates(sketches):
+def _candidates(sketches, bands):
     """(bucket, doc_id) of classes that share a bucket with another class."""
-    keys = sketches.select("doc_id", "signature").mapInArrow(_band_keys, "bucket long, doc_id long")
+    keys = sketches.select("doc_id", "signature").mapInArrow(partial(_band_keys, bands=bands), "bucket long, doc_id long")
     shared = keys.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     return keys.join(shared.select("bucket"), "bucket", "left_semi")
 
 
-def _band_keys(batches):
-    names = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+def _band_keys(batches, bands):
+    names = mixed(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
-        signatures = _matrix(batch.column("signature")).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        signatures = _matrix(batch.column("signature"), bands * ROWS).reshape(-1, bands, ROWS).astype(np.uint64)
         h = np.broadcast_to(names, signatures.shape[:2]).copy()
         for i in range(ROWS):
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, :, i])
-        doc = np.repeat(batch.column("doc_id").to_numpy(), BANDS)
+        doc = np.repeat(batch.column("doc_id").to_numpy(), bands)
         yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(doc)], ["bucket", "doc_id"])
 
 
-def _matrix(column):
+def _matrix(column, hashes):
     _, _, data = column.buffers()
     first = column.offset
-    return np.frombuffer(data, np.uint32)[first * _HASHES: (first + len(column)) * _HASHES].reshape(-1, _HASHES) if len(column) else np.zeros((0, _HASHES), np.uint32)
+    return np.frombuffer(data, np.uint32)[first * hashes: (first + len(column)) * hashes].reshape(-1, hashes) if len(column) else np.zeros((0, hashes), np.uint32)
 
 
 def _links(members, signatures, texts, threshold):
@@ -249,23 +269,24 @@ def _shingle_rows(batches):
 
 def verified(pairs, signatures, texts, threshold):
     """Pairs (a, b) that are similar: Bayesian pruning of signatures, then full sets."""
+    hashes = bands_of(threshold) * ROWS
     sides = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("signature_a"))
     other = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("signature_b"))
     survivors = pairs.join(sides.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(
-        partial(_plausible, least=least_agreements(threshold / 100)), "a long, b long")
+        partial(_plausible, least=least_agreements(threshold / 100, hashes), hashes=hashes), "a long, b long")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return survivors.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
         partial(_similar, threshold=threshold), "a long, b long").distinct()
 
 
-def least_agreements(t: float, miss: float = MISS) -> list[tuple[int, int]]:
+def least_agreements(t: float, hashes: int = _HASHES, miss: float = MISS) -> list[tuple[int, int]]:
     """(hashes compared, agreements that keep a pair): P(similarity >= t | agreements) >= miss.
 
     For Beta(m + 1, n - m + 1) this probability is that of at most m successes in n + 1 trials.
     """
     out = []
-    for n in range(BATCH, _HASHES + 1, BATCH):
+    for n in range(BATCH, hashes + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -274,9 +295,9 @@ def least_agreements(t: float, miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
-def _plausible(batches, least):
+def _plausible(batches, least, hashes):
     for batch in batches:
-        a, b = _matrix(batch.column("signature_a")), _matrix(batch.column("signature_b"))
+        a, b = _matrix(batch.column("signature_a"), hashes), _matrix(batch.column("signature_b"), hashes)
         open_ = np.arange(len(a))
         agreed = np.zeros(len(a), np.int64)
         for n, needed in least:

@@ -24,9 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, table(spark, sf_dir, "labels"), toxicity_training())
 
 
+NEAR = 80  # per cent; the 85 of op2 is that query's alone
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
-    return without_near_duplicates(docs)
+    """One document of each group of near duplicates (Jaccard 0.8 or more), the one of the smallest doc_id."""
+    return without_near_duplicates(docs, NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from bidstream.llm import near_dedup
 from bidstream.llm.queries import QUERIES, STATEMENTS
 from check import TABLES, normalised
 
@@ -35,3 +36,23 @@ def test_stages(spark, tmp_path):
         if name == "suffix_dedup":
             assert docs.count() == before
     assert docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
+
+
+def test_near_copies_from_80_per_cent_on_are_dropped(spark):
+    # A substitution inside 100 words replaces 5 of 96 shingles: (96 - 5k) / (96 + 5k) is 0.811 for 2, 0.730 for 3.
+    rows = []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(100)]
+        for k in (0, 2, 3):
+            copy = list(base)
+            for at in range(k):
+                copy[10 + 30 * at] = f"g{group}k{k}e{at}"
+            rows.append((10 * group + k, " ".join(copy), "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(10 * g + k for g in range(40) for k in (0, 3))
+
+
+def test_bands_miss_no_more_at_a_lower_threshold():
+    missed = [(1 - t ** near_dedup.ROWS) ** near_dedup.bands_of(round(100 * t)) for t in (0.85, 0.8, 0.7)]
+    assert near_dedup.bands_of(85) == near_dedup.BANDS and max(missed[1:]) <= missed[0] < 8e-7

@@ -37,7 +37,7 @@ def newton(x, y, penalty, free, steps=50):
 
 
 def fit(x, y, penalty=1.0) -> Linear:
-    """Calibration of features; both labels weigh the same, so that 0.5 is where they balance."""
+    """Calibration of features; every row weighs the same, so a rare label is given at 0.5 less often."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.clip((x - mean) / scale, -20, 20), np.ones(len(x))])
     w = newton(z, y, penalty, [-1])

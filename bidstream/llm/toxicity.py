@@ -3,12 +3,15 @@
 A text is read in overlapping windows, and each window is compressed twice: after ordinary text, and
 after ordinary and toxic text. The difference of the two lengths, in bytes, is what toxic text explains
 of the window. A document's differences (mean, shares over two and three bytes, largest, mean of the
-three largest) are weighed by a logistic calibration, whose threshold of 0.5 is where labels balance.
+three largest) are weighed by a logistic calibration on the sample as it is: with few toxic labels, 0.5
+keeps false positives low at the cost of recall.
 
 Training uses a bounded sample of labelled documents (see ``samples``), lower-cased. The ordinary
 dictionary is trained on windows of ordinary documents. The toxic one is trained on toxic documents
-reduced to words that ``SUPPORT`` of them hold and that are ``RATIO`` times rarer in ordinary ones:
-what both kinds share would only add noise to a difference of lengths.
+reduced to words that ``SUPPORT`` of them (four at least) hold and that are ``RATIO`` times rarer in
+ordinary ones: what both kinds share would only add noise to a difference of lengths. That is a
+departure from dictionaries of whole texts: a document whose toxic words are each rarer, or common in
+ordinary text, gains nothing and is kept. The README has figures of this and of whole texts.
 
 Defined cases: null and empty texts are one empty window; without toxic or ordinary training rows
 every score is the prior. Whole texts are scored.

@@ -4,7 +4,8 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
 ``threshold`` per cent: 85 in op2, 80 in the pipeline.
 
 1. A sketch per document: set size, fingerprint of its words, MinHash signature.
-2. Documents of equal words become one class, represented by the smallest doc_id.
+2. Texts of equal words become one class, represented by the smallest doc_id. A doc_id with several
+   texts has a class for each; classes are compared, and links between them become links of doc_ids.
 3. Signatures are cut into bands; classes that agree in a band are candidates. At the threshold a
    pair shares no band with probability (1 - t^ROWS)^bands, at most 8e-7 at any threshold: 24 bands
    at 0.85, 36 at 0.8.
@@ -49,7 +50,7 @@ _FACTORS = _generator.integers(1, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64
 _TERMS = _generator.integers(1, 1 << 63, _HASHES, dtype=np.uint64)
 _POSITION = _generator.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_SKETCH = "doc_id long, n_shingles long, words_a long, words_b long, signature binary"
+_SKETCH = "doc_id long, version long, n_shingles long, words_a long, words_b long, signature binary"
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -57,19 +58,29 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     bands = bands_of(threshold)
-    sketches = stored(docs.select("doc_id", "text").mapInArrow(partial(_sketches, hashes=bands * ROWS), _SKETCH), "sketches")
+    versions = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    sketches = stored(versions.mapInArrow(partial(_sketches, hashes=bands * ROWS), _SKETCH), "sketches")
     some = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("words_a", "words_b").agg(F.min("doc_id").alias("class"))
+    first = some.groupBy("words_a", "words_b").agg(F.min(F.struct("doc_id", "version")).alias("first"))
+    # A document with several texts stands for several classes: a node is a class, not a doc_id.
+    classes = stored(first.select(
+        F.monotonically_increasing_id().alias("node"), "words_a", "words_b", F.col("first.doc_id").alias("class"),
+        F.col("first.version").alias("class_version")), "classes")
     with_class = some.join(classes, ["words_a", "words_b"])
-    members = stored(_candidates(with_class.where("doc_id = class"), bands), "members")
-    signatures = stored(
-        some.join(members.select(F.col("doc_id")).distinct(), "doc_id").select("doc_id", "signature").dropDuplicates(["doc_id"]),
-        "signatures",
+    members = stored(_candidates(with_class.where("doc_id = class AND version = class_version"), bands), "members")
+    keys = stored(
+        classes.join(members.select("node").distinct(), "node").select(
+            "node", F.col("class").alias("doc_id"), F.col("class_version").alias("version")),
+        "keys",
     )
-    texts = stored(
-        docs.select("doc_id", "text").join(signatures.select("doc_id"), "doc_id"), "texts"
+    signatures = stored(
+        some.join(keys, ["doc_id", "version"]).select("node", "signature").dropDuplicates(["node"]), "signatures"
     )
+    texts = stored(versions.join(keys, ["doc_id", "version"]).select("node", "text"), "texts")
     links = _links(members, signatures, texts, threshold)
+    for end in ("a", "b"):
+        links = links.join(keys.select(F.col("node").alias(end), F.col("doc_id").alias(f"doc_{end}")).hint("merge"), end)
+    links = links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).where("a != b")
     same = with_class.where("doc_id != class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     labels = components(same.unionByName(links))
     return (
@@ -149,18 +160,18 @@ def _sketches(batches, hashes):
             second.append(int(mixed(words * np.uint64(0x9E3779B97F4A7C15) ^ mixed(at + np.uint64(1 << 40))).sum().view(np.int64)) if len(words) else 0)
             signatures.append(signature_of(shingles, hashes).tobytes() if len(shingles) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
+            [batch.column("doc_id").cast(pa.int64()), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
              pa.array(second, pa.int64()), pa.array(signatures, pa.binary())],
-            ["doc_id", "n_shingles", "words_a", "words_b", "signature"],
+            ["doc_id", "version", "n_shingles", "words_a", "words_b", "signature"],
         )
 
 
 # --- candidates ----------------------------------------------------------------------------------
 
 def _candidates(sketches, bands):
-    """(bucket, doc_id) of classes that share a bucket with another class."""
-    keys = sketches.select("doc_id", "signature").mapInArrow(partial(_band_keys, bands=bands), "bucket long, doc_id long")
-    shared = keys.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    """(bucket, node) of classes that share a bucket with another class."""
+    keys = sketches.select("node", "signature").mapInArrow(partial(_band_keys, bands=bands), "bucket long, node long")
+    shared = keys.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     return keys.join(shared.select("bucket"), "bucket", "left_semi")
 
 
@@ -171,8 +182,8 @@ def _band_keys(batches, bands):
         h = np.broadcast_to(names, signatures.shape[:2]).copy()
         for i in range(ROWS):
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, :, i])
-        doc = np.repeat(batch.column("doc_id").to_numpy(), bands)
-        yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(doc)], ["bucket", "doc_id"])
+        doc = np.repeat(batch.column("node").to_numpy(), bands)
+        yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(doc)], ["bucket", "node"])
 
 
 def _matrix(column, hashes):
@@ -183,38 +194,38 @@ def _matrix(column, hashes):
 
 def _links(members, signatures, texts, threshold):
     """Verified links that connect every pair of a bucket that is similar."""
-    members = members.withColumn("component", F.col("doc_id"))
+    members = members.withColumn("component", F.col("node"))
     links = None
     for round_ in range(HUB_ROUNDS):
         # Best-linked members first.
-        ranked = members.withColumn("degree", F.lit(0)) if links is None else members.join(degree.hint("merge"), "doc_id", "left")
-        rank = Window.partitionBy("bucket").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.crc32(F.col("doc_id").cast("string")), "doc_id")
+        ranked = members.withColumn("degree", F.lit(0)) if links is None else members.join(degree.hint("merge"), "node", "left")
+        rank = Window.partitionBy("bucket").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.crc32(F.col("node").cast("string")), "node")
         hubs = ranked.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == 1)
-        hubs = hubs.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("hub_component"))
+        hubs = hubs.select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
         pairs = members.join(hubs.hint("merge"), "bucket").where("component != hub_component").select(
-            F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         found = stored(verified(pairs.distinct(), signatures, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degree = stored(ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "doc_id"), "degrees")
+        degree = stored(ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node"), "degrees")
         # Members linked to one and the same document are connected: its best-linked neighbour,
         # or itself, names a member's component as far as it is known.
-        near = ends.join(degree.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "degree").unionByName(
-            degree.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "degree"))
+        near = ends.join(degree.hint("merge"), F.col("b") == F.col("node")).select("a", "b", "degree").unionByName(
+            degree.select(F.col("node").alias("a"), F.col("node").alias("b"), "degree"))
         labels = near.groupBy("a").agg(
             F.max_by("b", F.col("degree") * F.lit(1 << 32) + F.crc32(F.col("b").cast("string"))).alias("component"))
-        members = members.select("bucket", "doc_id").join(labels.withColumnRenamed("a", "doc_id").hint("merge"), "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        members = members.select("bucket", "node").join(labels.withColumnRenamed("a", "node").hint("merge"), "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component"))
         mixed_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         members = stored(members.join(mixed_.select("bucket").hint("merge"), "bucket", "left_semi"), "members")
     # From here on, components are those of all links so far.
-    labels = components(links).withColumnRenamed("node", "doc_id")
+    labels = components(links)
     members = stored(
-        members.select("bucket", "doc_id").join(labels.hint("merge"), "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+        members.select("bucket", "node").join(labels.hint("merge"), "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component")), "members")
     mixed_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = members.join(mixed_.select("bucket").hint("merge"), "bucket", "left_semi")
-    pairs = _compatible(members.groupBy("doc_id").agg(F.min("component").alias("component")), texts, threshold)
+    pairs = _compatible(members.groupBy("node").agg(F.min("component").alias("component")), texts, threshold)
     return links.unionByName(verified(pairs, signatures, texts, threshold))
 
 
@@ -227,29 +238,29 @@ def _compatible(members, texts, threshold):
     """
     t = threshold / 100
     early_places = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
-    sides = texts.join(members.hint("merge"), "doc_id").select("doc_id", "component", "text", F.xxhash64("text").alias("version"))
-    kind = "doc_id long, component long, version long, n int, shingle long"
+    sides = texts.join(members.hint("merge"), "node").select("node", "component", "text")
+    kind = "node long, component long, n int, shingle long"
     once = sides.mapInArrow(_shingle_rows, kind).groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("often"), *[F.min(c).alias(c) for c in ("doc_id", "version", "n")]).where("often = 1")
+        F.count(F.lit(1)).alias("often"), *[F.min(c).alias(c) for c in ("node", "n")]).where("often = 1")
     # Texts whose early places are all taken by shingles of their own are similar to none of the others:
     # they go before the join.
-    alone = once.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("n")).where(F.col("own") >= early_places)
-    sides = stored(sides.join(alone.select("doc_id", "version").hint("merge"), ["doc_id", "version"], "left_anti"), "open-texts")
-    rows = sides.select("doc_id", "component", "version", "text").mapInArrow(_shingle_rows, kind).drop("version")
+    alone = once.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("n")).where(F.col("own") >= early_places)
+    sides = stored(sides.join(alone.select("node").hint("merge"), "node", "left_anti"), "open-texts")
+    rows = sides.mapInArrow(_shingle_rows, kind)
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Shingles of one document come first in its order and join with nothing: their number is enough.
     shared = rows.join(often.hint("merge"), "shingle")
-    order = Window.partitionBy("doc_id").orderBy("often", "shingle")
+    order = Window.partitionBy("node").orderBy("often", "shingle")
     placed = shared.withColumn("at", F.row_number().over(order)).withColumn(
-        "at", F.col("at") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+        "at", F.col("at") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node")))
     early = stored(placed.where(F.col("at") <= early_places).select(
-        "doc_id", "component", "n", "shingle", "at"), "prefixes")
-    other = early.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "at")])
+        "node", "component", "n", "shingle", "at"), "prefixes")
+    other = early.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "at")])
     most = 1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
     return early.join(other.hint("merge"), "shingle").where(
-        (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
+        (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
         & (most >= F.lit(t / (1 + t)) * (F.col("n") + F.col("n_b")) - 1e-9)
-    ).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    ).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _shingle_rows(batches):
@@ -260,9 +271,9 @@ def _shingle_rows(batches):
         for i in range(0, max(1, sum(sizes)), 1 << 17):
             some = slice(i, i + (1 << 17))
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(repeat(c)[some]) for c in ("doc_id", "component", "version")],
+                [*[pa.array(repeat(c)[some]) for c in ("node", "component")],
                  pa.array(np.repeat(sizes, sizes)[some].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)[some])],
-                ["doc_id", "component", "version", "n", "shingle"])
+                ["node", "component", "n", "shingle"])
 
 
 # --- verification --------------------------------------------------------------------------------
@@ -270,12 +281,12 @@ def _shingle_rows(batches):
 def verified(pairs, signatures, texts, threshold):
     """Pairs (a, b) that are similar: Bayesian pruning of signatures, then full sets."""
     hashes = bands_of(threshold) * ROWS
-    sides = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("signature_a"))
-    other = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("signature_b"))
+    sides = signatures.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
+    other = signatures.select(F.col("node").alias("b"), F.col("signature").alias("signature_b"))
     survivors = pairs.join(sides.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(
         partial(_plausible, least=least_agreements(threshold / 100, hashes), hashes=hashes), "a long, b long")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return survivors.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
         partial(_similar, threshold=threshold), "a long, b long").distinct()
 

@@ -58,6 +58,18 @@ def test_near_duplicates_equal_brute_force(spark):
         (d, len(sets[d]), label[d], label[d] == d) for d in sets}
 
 
+def test_near_duplicates_link_every_text_of_a_document(spark):
+    # Each document 1000 + g has two texts, near copies of two others: whichever is lost, a link is.
+    docs = []
+    for g in range(20):
+        for side in (0, 1):
+            base = [f"g{g}s{side}w{i}" for i in range(100)]
+            docs += [(10 * g + side, " ".join(base), "s"), (1000 + g, " ".join(base[:-1] + ["end"]), "s")]
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert len(rows) == len(docs) and {(r.doc_id, r.component_id) for r in rows} == {
+        (d, 10 * g) for g in range(20) for d in (10 * g, 10 * g + 1, 1000 + g)}
+
+
 def test_least_agreements_grow_and_never_drop_equal_sets():
     least = near_dedup.least_agreements(0.85)
     assert all(m <= n for n, m in least) and [m for _, m in least] == sorted(m for _, m in least)

@@ -39,7 +39,8 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end: int =
            attention: int | None = None, weights=(1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
-    ``documents`` and ``attention`` bound a sequence besides its tokens; left out they never bind.
+    ``documents`` and ``attention`` bound a sequence besides its tokens; left out they never bind, and
+    with the default weights only tokens choose the sequence.
     """
     if rule not in ("norm", "dot"):
         raise ValueError(f"unknown rule {rule!r}")

@@ -85,6 +85,29 @@ def pairwise_quality(spark, sf_dir):
     return scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out, ~held_out)
 
 
+def vector_codes(spark, sf_dir):
+    from bidstream.llm.vector_codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def secret_scan(spark, sf_dir):
+    from bidstream.llm.secret_scan import BASE, secrets, spans_text
+
+    found = secrets(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text("secrets", tuple(BASE)), 256).alias("base_sha256"),
+        spans_text("secrets").alias("spans"), "n_entropy")
+
+
+def hard_negatives(spark, sf_dir):
+    from bidstream.llm.hard_negatives import hard_negatives as mined
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mined(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_mixing": mixing,
     "op2_near_dedup": near_dedup,
@@ -96,6 +119,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup,
     "op9_token_counts": token_counts,
     "op10_pairwise_quality": pairwise_quality,
+    "op11_vector_codes": vector_codes,
+    "op12_secret_scan": secret_scan,
+    "op13_hard_negatives": hard_negatives,
 }
 
 STATEMENTS = {name: getattr(statements, name.upper()) for name in QUERIES if hasattr(statements, name.upper())}

@@ -120,3 +120,117 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * lost_chars > 50 * word_chars) AS kept
 FROM counted
 """
+
+
+def _round_of(n):
+    """A round over codebooks b{n}: nearest entries a{n}, and the codebooks after it."""
+    return f"""
+, d{n} AS (
+    SELECT v.row, v.part, b.entry, sum((v.x - b.x) ** 2)::BIGINT AS distance
+    FROM components v JOIN b{n} b USING (part, place) GROUP BY v.row, v.part, b.entry
+), a{n} AS (
+    SELECT row, part, min({{'d': distance, 'e': entry}}) AS best FROM d{n} GROUP BY row, part
+), b{n + 1} AS (
+    SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x
+    FROM b{n} b LEFT JOIN (
+        SELECT part, a.best.e AS entry, place, floor(sum(v.x)::HUGEINT / count(*))::BIGINT AS x
+        FROM components v JOIN a{n} a USING (row, part) GROUP BY part, a.best.e, place
+    ) m USING (part, entry, place)
+)"""
+
+
+_KEPT = """len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0"""
+
+OP11_VECTOR_CODES = f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+           list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+    FROM embeddings WHERE {_KEPT}
+), flat AS (
+    SELECT row, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) // 16 AS size FROM kept
+), components AS (
+    SELECT row, x, (i // size)::INT AS part, (i % size)::INT AS place FROM flat
+), b0 AS (
+    SELECT part, (row - 1)::INT AS entry, place, x FROM components WHERE row <= 64
+){_round_of(0)}{_round_of(1)}{_round_of(2)}
+, books AS (
+    SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b2
+), coded AS (
+    SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY row
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), books
+"""
+
+_ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
+           r"[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)")
+_PATTERNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+             "entropy_hex": "[0-9A-Fa-f]{16,}", "entropy_base64": "[0-9A-Za-z+/_-]{20,}"}
+
+
+def _matches(number, kind, pattern):
+    value = f"regexp_extract_all(text, '{pattern}', 2)" if kind == "assign" else "matches"
+    return f"""
+    SELECT row, {number} AS kind, unnest(matches) AS m, unnest({value}) AS value,
+           unnest(string_split_regex(text, '{pattern}')[:-2]) AS gap, unnest(range(len(matches))) AS i
+    FROM (SELECT row, text, regexp_extract_all(text, '{pattern}') AS matches FROM texts) WHERE len(matches) > 0"""
+
+
+def _entropic(number, window, bits):
+    from bidstream.llm.secret_scan import most_terms, terms
+
+    return f"""
+    SELECT row, {number} AS kind, min(start + j - 1) AS start, max(start + j - 1) + {window} AS stop
+    FROM (SELECT row, start, m, unnest(range(1, length(m) - {window} + 2)) AS j FROM candidates WHERE kind = {number})
+    WHERE list_sum(list_transform(list_distinct(string_split(substring(m, j, {window}), '')), lambda c:
+        {terms(window)}[1 + {window} - length(replace(substring(m, j, {window}), c, ''))])) <= {most_terms(window, bits)}
+    GROUP BY row, start"""
+
+
+OP12_SECRET_SCAN = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), matched AS ({" UNION ALL ".join(_matches(n, k, p) for n, (k, p) in enumerate(_PATTERNS.items()))}
+), placed AS (
+    SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY row, kind ORDER BY i) - length(m))::BIGINT AS start FROM matched
+), candidates AS (
+    SELECT * FROM placed
+    WHERE kind >= 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+      AND NOT regexp_full_match(m, '[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}')
+      AND NOT regexp_matches(lower(m), 'example|sample|dummy|placeholder|changeme|0123456789|abcdefgh|xxxx')
+      AND (kind = 3 OR regexp_matches(m, '[^0-9A-Fa-f]'))
+), spans AS (
+    SELECT row, kind, start, start + length(m) AS stop FROM placed
+    WHERE (kind = 0 AND length(value) >= 8) OR (kind = 1 AND length(m) >= 16) OR (kind = 2 AND length(m) >= 32)
+    UNION ALL {_entropic(3, 16, 2.9)}
+    UNION ALL {_entropic(4, 20, 3.7)}
+), listed AS (
+    SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+           count(*) FILTER (kind > 2) AS n_entropy, string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+           string_agg(s, ',' ORDER BY start, kind) AS spans
+    FROM (SELECT *, {list(_PATTERNS)}[kind + 1] || ':' || start || ':' || stop AS s FROM spans) GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (row)
+"""
+
+OP13_HARD_NEGATIVES = f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS row, *
+    FROM (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+          FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_KEPT})
+), scored AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS other, b.vec_id AS id, a.label = b.label AS same,
+           list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.id)::INT AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+WHERE 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.id) <= 5
+"""

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,7 @@ def root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="bidstream-")
     spark.sparkContext.setCheckpointDir(own)
@@ -32,8 +33,26 @@ def fresh(spark: SparkSession, purpose: str) -> str:
 def clear(spark: SparkSession) -> None:
     """Delete the folders that ``fresh`` has named in this process: no frame over them is read again."""
     while _made:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        delete(spark, _made.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Folders that ``fresh`` names inside are deleted at the end, but those added to the yielded list."""
+    start, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        inside = _made[start:]
+        _made[start:] = [folder for folder in inside if folder in keep]
+        for folder in inside:
+            if folder not in keep:
+                delete(spark, folder)
 
 
 def frozen(rows: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
 3. Signatures are cut into bands; classes that agree in a band are candidates. At the threshold a
    pair shares no band with probability (1 - t^ROWS)^bands, at most 8e-7 at any threshold: 24 bands
    at 0.85, 36 at 0.8.
-4. Within a bucket candidates are compared with a hub, not with each other; in a second round only
-   members not yet connected to the best-linked member are, with that as hub. What buckets still hold
-   of different components is compared where exact prefix and position bounds on the sets allow a
-   link. So no pair of a bucket is lost, and a large group costs a few comparisons per member.
+4. Candidates are compared with a hub, not with each other: in each of ``HUB_ROUNDS`` rounds a member with
+   the best hub of its buckets that it is not connected to, best-linked members being hubs. What buckets
+   then still hold of different components is compared where exact prefix and position bounds on the sets
+   allow a link. So no pair of a bucket is lost, and a large group costs a few comparisons per member.
 5. Verification: signatures are compared in batches; after n hashes with m agreements the posterior
    of the similarity under a uniform prior is Beta(m + 1, n - m + 1), and the pair is dropped once
    P(similarity >= t) falls below MISS. Survivors are verified on their full shingle sets.
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidstream import workspace
 from bidstream.llm.components import components
 from bidstream.llm.tables import ship, stored
 from bidstream.llm.texts import mixed, slices
@@ -42,7 +43,9 @@ WIDTH = 5
 BANDS, ROWS = 24, 5  # bands at THRESHOLD and above; see bands_of
 BATCH = 24  # signature hashes compared at a time
 MISS = 1e-9
-HUB_ROUNDS = 2
+HUB_ROUNDS = 6
+HUB_NODES = 512  # compared with one copy of a hub
+SIEVE_BITS = 22
 
 _HASHES = BANDS * ROWS
 _generator = np.random.Generator(np.random.PCG64(11))
@@ -57,31 +60,32 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     spark = docs.sparkSession
     ship(spark)
+    with workspace.temporary(spark) as keep:
+        return stored(_labelled(docs, threshold), "near-duplicates", keep)
+
+
+def _labelled(docs, threshold):
     bands = bands_of(threshold)
     versions = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     sketches = stored(versions.mapInArrow(partial(_sketches, hashes=bands * ROWS), _SKETCH), "sketches")
     some = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = some.groupBy("words_a", "words_b").agg(F.min(F.struct("doc_id", "version")).alias("first"))
     # A document with several texts stands for several classes: a node is a class, not a doc_id.
-    classes = stored(first.select(
-        F.monotonically_increasing_id().alias("node"), "words_a", "words_b", F.col("first.doc_id").alias("class"),
-        F.col("first.version").alias("class_version")), "classes")
-    with_class = some.join(classes, ["words_a", "words_b"])
-    members = stored(_candidates(with_class.where("doc_id = class AND version = class_version"), bands), "members")
-    keys = stored(
-        classes.join(members.select("node").distinct(), "node").select(
-            "node", F.col("class").alias("doc_id"), F.col("class_version").alias("version")),
-        "keys",
-    )
-    signatures = stored(
-        some.join(keys, ["doc_id", "version"]).select("node", "signature").dropDuplicates(["node"]), "signatures"
-    )
-    texts = stored(versions.join(keys, ["doc_id", "version"]).select("node", "text"), "texts")
+    first = some.groupBy("words_a", "words_b").agg(F.min(F.struct("doc_id", "version", "signature")).alias("first"))
+    classes = stored(first.select(F.monotonically_increasing_id().alias("node"), "words_a", "words_b", "first.*"), "classes")
+    members = stored(_candidates(classes, bands), "members")
+    nodes = members.select("node").distinct()
+    # Only what can be a candidate is shuffled: the rest leaves at a broadcast bit map.
+    candidates = stored(_sifted(classes, nodes, ["node"]).join(nodes.hint("merge"), "node"), "candidates")
+    keys, signatures = candidates.select("node", "doc_id", "version"), candidates.select("node", "signature")
+    texts = stored(
+        _sifted(versions, keys, ["doc_id", "version"]).join(keys, ["doc_id", "version"]).select("node", "text").dropDuplicates(["node"]), "texts")
     links = _links(members, signatures, texts, threshold)
     for end in ("a", "b"):
         links = links.join(keys.select(F.col("node").alias(end), F.col("doc_id").alias(f"doc_{end}")).hint("merge"), end)
     links = links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).where("a != b")
-    same = with_class.where("doc_id != class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    of_class = classes.select("words_a", "words_b", F.col("doc_id").alias("class"))
+    same = some.select("doc_id", "words_a", "words_b").join(of_class, ["words_a", "words_b"]).where("doc_id != class").select(
+        F.col("doc_id").alias("a"), F.col("class").alias("b"))
     labels = components(same.unionByName(links))
     return (
         sketches.select("doc_id", "n_shingles")
@@ -93,6 +97,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
+def _sifted(rows, keys, names):
+    """``rows`` without most of those whose ``names`` are not among ``keys``.
+
+    One bit per hash of a key, in 2^``SIEVE_BITS`` bits: at most 2^(``SIEVE_BITS`` - 6) rows of two longs
+    are broadcast, whatever the number of keys. With very many keys it only lets more rows through.
+    """
+    hashed = F.xxhash64(*names)
+    word, bit = F.shiftrightunsigned(hashed, 64 - SIEVE_BITS + 6), F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(names)}) & 63 as int))")
+    bits = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(bits), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)).drop("_word", "_bits")
+
+
 def without_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component: rows of ``docs`` whose doc_id is its component's smallest."""
     gone = near_duplicates(docs, threshold).where("NOT kept").select("doc_id").distinct()
@@ -193,19 +209,27 @@ def _matrix(column, hashes):
 
 
 def _links(members, signatures, texts, threshold):
-    """Verified links that connect every pair of a bucket that is similar."""
+    """Verified links that connect every pair of a bucket that is similar.
+
+    In a round every member is compared with one hub: of the hubs of its buckets, the best. So a round
+    has at most one pair per member, however many buckets a group of copies shares.
+    """
     members = members.withColumn("component", F.col("node"))
-    links = None
+    links = compared = degree = None
     for round_ in range(HUB_ROUNDS):
-        # Best-linked members first.
-        ranked = members.withColumn("degree", F.lit(0)) if links is None else members.join(degree.hint("merge"), "node", "left")
-        rank = Window.partitionBy("bucket").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.crc32(F.col("node").cast("string")), "node")
-        hubs = ranked.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == 1)
-        hubs = hubs.select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        pairs = members.join(hubs.hint("merge"), "bucket").where("component != hub_component").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        found = stored(verified(pairs.distinct(), signatures, texts, threshold), "links")
+        # Best-linked members first, then by a hash of the round.
+        ranked = members.withColumn("degree", F.lit(0)) if degree is None else members.join(degree.hint("merge"), "node", "left")
+        rank = F.coalesce("degree", F.lit(0)) * F.lit(1 << 32) + F.crc32(F.concat_ws(":", "node", F.lit(round_)))
+        ranked = ranked.withColumn("rank", rank)
+        hubs = ranked.groupBy("bucket").agg(
+            F.max_by("node", "rank").alias("hub"), F.max_by("component", "rank").alias("hub_component"), F.max("rank").alias("hub_rank"))
+        met = members.join(hubs.hint("merge"), "bucket").where("component != hub_component")
+        if compared is not None:
+            met = met.join(compared.hint("merge"), ["node", "hub"], "left_anti")
+        pairs = stored(met.groupBy("node").agg(F.max_by("hub", "hub_rank").alias("hub")), "pairs")
+        found = stored(verified(pairs, signatures, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
+        compared = pairs if compared is None else compared.unionByName(pairs)
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = stored(ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node"), "degrees")
         # Members linked to one and the same document are connected: its best-linked neighbour,
@@ -214,21 +238,26 @@ def _links(members, signatures, texts, threshold):
             degree.select(F.col("node").alias("a"), F.col("node").alias("b"), "degree"))
         labels = near.groupBy("a").agg(
             F.max_by("b", F.col("degree") * F.lit(1 << 32) + F.crc32(F.col("b").cast("string"))).alias("component"))
-        members = members.select("bucket", "node").join(labels.withColumnRenamed("a", "node").hint("merge"), "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        members = stored(members.join(mixed_.select("bucket").hint("merge"), "bucket", "left_semi"), "members")
+        members = stored(_unsettled(members, labels.withColumnRenamed("a", "node"), compared), "members")
     # From here on, components are those of all links so far.
-    labels = components(links)
-    members = stored(
-        members.select("bucket", "node").join(labels.hint("merge"), "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component")), "members")
-    mixed_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = members.join(mixed_.select("bucket").hint("merge"), "bucket", "left_semi")
+    members = _unsettled(members, components(links), compared)
     pairs = _compatible(members.groupBy("node").agg(F.min("component").alias("component")), texts, threshold)
     return links.unionByName(verified(pairs, signatures, texts, threshold))
 
 
+def _unsettled(members, labels, compared):
+    """Members, with their components, of buckets of several components; not those of two members
+    that have been compared."""
+    members = members.select("bucket", "node").join(labels.hint("merge"), "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component"))
+    open_ = members.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"),
+        F.count(F.lit(1)).alias("size")).where("low < high")
+    done = compared.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.lit(2).cast("long").alias("size")).distinct()
+    open_ = open_.join(done.hint("merge"), ["a", "b", "size"], "left_anti")
+    return members.join(open_.select("bucket").hint("merge"), "bucket", "left_semi")
+
+
 def _compatible(members, texts, threshold):
     """Pairs of different components that may be similar, by exact prefix and position bounds.
 
@@ -260,7 +289,7 @@ def _compatible(members, texts, threshold):
     return early.join(other.hint("merge"), "shingle").where(
         (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
         & (most >= F.lit(t / (1 + t)) * (F.col("n") + F.col("n_b")) - 1e-9)
-    ).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    ).select(F.col("node_b").alias("node"), F.col("node").alias("hub")).distinct()
 
 
 def _shingle_rows(batches):
@@ -279,16 +308,45 @@ def _shingle_rows(batches):
 # --- verification --------------------------------------------------------------------------------
 
 def verified(pairs, signatures, texts, threshold):
-    """Pairs (a, b) that are similar: Bayesian pruning of signatures, then full sets."""
+    """Similar ones of the pairs (node, hub) as (a, b): Bayesian pruning of signatures, then full sets.
+
+    The pairs of a hub come to one task, which holds the hub's side while its nodes stream by; a hub of
+    many nodes is copied once for each ``HUB_NODES`` of them. Each node's side is sent once per pair.
+    """
     hashes = bands_of(threshold) * ROWS
-    sides = signatures.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
-    other = signatures.select(F.col("node").alias("b"), F.col("signature").alias("signature_b"))
-    survivors = pairs.join(sides.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(
-        partial(_plausible, least=least_agreements(threshold / 100, hashes), hashes=hashes), "a long, b long")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return survivors.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        partial(_similar, threshold=threshold), "a long, b long").distinct()
+    copies = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_NODES).alias("copies"))
+    pairs = stored(pairs.join(copies.hint("merge"), "hub").select(
+        "node", "hub", F.pmod(F.xxhash64("node"), F.col("copies")).alias("copy")), "pairs")
+    some = _beside_hub(pairs, signatures, "signature").mapInArrow(
+        partial(_plausible, least=least_agreements(threshold / 100, hashes), hashes=hashes), _PAIR)
+    some = stored(some, "pairs")
+    return _beside_hub(some, texts, "text").mapInArrow(partial(_similar, threshold=threshold), _PAIR).select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+_PAIR = "node long, hub long, copy long"
+
+
+def _beside_hub(pairs, sides, column):
+    """Rows of each hub and copy: the hub's own first, then those of its nodes."""
+    hubs = pairs.select("hub", "copy").distinct().withColumn("node", F.col("hub"))
+    rows = hubs.withColumn("member", F.lit(0)).unionByName(pairs.select("hub", "copy", "node", F.lit(1).alias("member")))
+    rows = rows.join(_sifted(sides, rows, ["node"]).hint("merge"), "node").select("hub", "copy", "member", "node", column)
+    return rows.repartition("hub", "copy").sortWithinPartitions("hub", "copy", "member")
+
+
+def _by_hub(batches):
+    """(batch, hub's row or None if it came before, rows of nodes) of each hub and copy."""
+    for batch in batches:
+        hub, copy, member = (batch.column(c).to_numpy() for c in ("hub", "copy", "member"))
+        new = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (copy[1:] != copy[:-1]))) if len(hub) else []
+        for first, last in zip(new, [*new[1:], len(hub)]):
+            own = first if member[first] == 0 else None
+            yield batch, own, np.arange(first + (own is not None), last)
+
+
+def _pairs_of(batch, rows):
+    return batch.select(["node", "hub", "copy"]).take(pa.array(rows, pa.int64()))
 
 
 def least_agreements(t: float, hashes: int = _HASHES, miss: float = MISS) -> list[tuple[int, int]]:
@@ -307,28 +365,28 @@ def least_agreements(t: float, hashes: int = _HASHES, miss: float = MISS) -> lis
 
 
 def _plausible(batches, least, hashes):
-    for batch in batches:
-        a, b = _matrix(batch.column("signature_a"), hashes), _matrix(batch.column("signature_b"), hashes)
-        open_ = np.arange(len(a))
-        agreed = np.zeros(len(a), np.int64)
+    own = None
+    for batch, first, rows in _by_hub(batches):
+        signatures = _matrix(batch.column("signature"), hashes)
+        own = own if first is None else signatures[first].copy()
+        open_, agreed = rows, np.zeros(len(batch), np.int64)
         for n, needed in least:
-            agreed[open_] += (a[open_, n - BATCH: n] == b[open_, n - BATCH: n]).sum(axis=1)
+            agreed[open_] += (signatures[open_, n - BATCH: n] == own[n - BATCH: n]).sum(axis=1)
             open_ = open_[agreed[open_] >= needed]
-        yield batch.select(["a", "b"]).take(pa.array(open_))
+        if len(open_):
+            yield _pairs_of(batch, open_)
 
 
 def _similar(batches, threshold):
-    held = {}
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        texts = {"a": batch.column("text_a"), "b": batch.column("text_b")}
-        keep = []
-        for i, x in enumerate(b):
-            key = (x, texts["b"][i].as_py())
-            if held.get("key") != key:  # pairs of one b come together
-                held = {"key": key, "set": next(shingle_sets(texts["b"].slice(i, 1)))[0]}
-            mine = next(shingle_sets(texts["a"].slice(i, 1)))[0]
-            common = len(np.intersect1d(mine, held["set"], assume_unique=True))
-            if 100 * common >= threshold * (len(mine) + len(held["set"]) - common):
+    own = None
+    for batch, first, rows in _by_hub(batches):
+        texts, keep = batch.column("text"), []
+        if first is not None:
+            own = next(shingle_sets(texts.slice(first, 1)))[0]
+        for i in rows:
+            mine = next(shingle_sets(texts.slice(i, 1)))[0]
+            common = len(np.intersect1d(mine, own, assume_unique=True))
+            if 100 * common >= threshold * (len(mine) + len(own) - common):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+        if keep:
+            yield _pairs_of(batch, keep)

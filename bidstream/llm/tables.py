@@ -33,10 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: the lineage ends there."""
+def stored(rows: DataFrame, purpose: str, keep: list | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: the lineage ends there.
+
+    ``keep`` is the list of ``workspace.temporary``, for rows that outlive it.
+    """
     spark = rows.sparkSession
     path = workspace.fresh(spark, purpose)
+    if keep is not None:
+        keep.append(path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

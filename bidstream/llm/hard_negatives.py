@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidstream.llm.integer_vectors import floors, matrix, packed, smallest, unpacked, usable
-from bidstream.llm.tables import ship, stored
+from bidstream.llm.integer_vectors import floors, matrix, packed, unpacked, usable
+from bidstream.llm.tables import ship, smallest, stored
 from bidstream.llm.texts import mixed
 
 POSITIVES = NEGATIVES = 5

@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by hash-random order and distributed prefix sums.
 
-Every document gets a random key, the hash of its id and a seed. Within a source the documents are
+Every document gets a random key, the hash of its id, its text and a seed. Within a source the documents are
 range-sorted by key: equal ranges of the key space, as many as the source's size asks for, hold about
 equally many documents, so a source with a third of all rows is spread like any other. Sizes are
 summed per range, the sums are prefix-summed over the ranges of a source, and documents only inside
@@ -12,8 +12,8 @@ sizes. No source gives more than ``MOST`` times its size; the excess goes to the
 again and again. The fixed point is min(MOST * size, level * weight) for one level, found from the
 sources sorted by the level at which they are exhausted.
 
-Defined cases: null text has size 0, a source without words a target of 0. Rows of equal doc_id and
-source share a key and come in order of size; equal rows are interchangeable. Null doc_id is a key too.
+Defined cases: null text has size 0, a source without words a target of 0. Rows of equal doc_id,
+source and text share a key; they are interchangeable. A null doc_id is an id too.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ def size_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def key_of(doc_id: str | Column = "doc_id", seed: str = "mix") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+def key_of(seed: str = "mix") -> Column:
+    """The text takes part, so that rows of one id, or of none, are spread like others."""
+    return F.md5(F.concat(
+        F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -61,8 +63,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each document."""
+    return _taken(docs.select("doc_id", "source", "text"), seed)
+
+
+def _taken(docs, seed):
+    """``mixed`` with the columns of ``docs`` but the text."""
+    kept = [c for c in docs.columns if c != "text"]
     # A few numbers per document, counted once and read three times.
-    sized = stored(docs.select("doc_id", "source", size_of().alias("size"), key_of(seed=seed).alias("key")), "sizes")
+    sized = stored(docs.select(*kept, size_of().alias("size"), key_of(seed).alias("key")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / RANGE_ROWS))
     targets = source_targets(totals).select(
@@ -81,28 +89,23 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     left = budget - epochs * F.col("source_size")
     start = F.col("offset") + F.col("inside") - F.col("size")
     more = F.greatest(F.lit(0), F.least(F.col("size"), left - start))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    return rows.select(*kept, "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix as rows of ``docs``: each epoch of a document is a row, the last one cut at its budget."""
-    known = "taken"
+    known, columns = "taken", docs.columns
     while any(c.startswith(known) for c in docs.columns):
         known += "_"
-    taken = mixed(docs, seed).select(
-        F.col("doc_id").alias(f"{known}id"), F.col("source").alias(f"{known}source"), F.col("size").alias(f"{known}size"),
-        F.col("taken").alias(known),
-    ).groupBy(f"{known}id", f"{known}source", f"{known}size").agg(F.max(known).alias(known))
-    size = size_of()
-    rows = docs.join(
-        taken,
-        docs["doc_id"].eqNullSafe(taken[f"{known}id"]) & docs["source"].eqNullSafe(taken[f"{known}source"])
-        & (size == taken[f"{known}size"]),
-    )
+    # Each row gets its own share, whatever other rows are equal to it.
+    docs = stored(docs.withColumn(f"{known}row", F.monotonically_increasing_id()), "numbered")
+    taken = _taken(docs.select("doc_id", "source", "text", f"{known}row"), seed).select(
+        f"{known}row", F.col("size").alias(f"{known}size"), F.col("taken").alias(known))
+    rows = docs.join(taken.where(F.col(known) > 0), f"{known}row")
     # Words left for each epoch: all of them, and at the last the rest.
     epochs = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(known) / F.col(f"{known}size")) - 1).cast("int"))
-    rows = rows.where(F.col(known) > 0).withColumn(f"{known}epoch", F.explode(epochs))
+    rows = rows.withColumn(f"{known}epoch", F.explode(epochs))
     words = F.least(F.col(f"{known}size"), F.col(known) - F.col(f"{known}epoch") * F.col(f"{known}size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, words.cast("int")), "")
     text = F.when(words < F.col(f"{known}size"), cut).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])

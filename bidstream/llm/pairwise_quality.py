@@ -6,7 +6,8 @@ sigmoid(difference of scores), so the loss is logistic in differences of feature
 training scores, at the share of bad documents, is the threshold; scores map to (0, 1) by a logistic
 curve that passes through ``CUT`` there.
 
-Training uses a bounded sample of labelled documents (see ``samples``) and ``PAIRS`` pairs of them.
+Training uses a bounded sample of labelled documents (see ``samples``) and ``PAIRS`` pairs of them. Tasks
+turn whole texts into features; the driver gets these numbers only, in an order of their own.
 
 Defined cases: null and empty texts have the features of an empty text; if either label is missing in
 training, every score is the label's that is there (1 if none is). Whole texts are scored.
@@ -39,7 +40,7 @@ _MEMBERS = np.stack([np.isin(np.arange(256), list(c)) for c in _CLASSES.values()
 def scores(docs: DataFrame, labels: DataFrame, held_out: Column, train: Column, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     ship(docs.sparkSession)
-    model = train_model(labelled(docs, labels, label, train))
+    model = train_model(labelled_features(labelled(docs, labels, label, train)))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     scored = rows.mapInArrow(partial(_scored, model=model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
@@ -104,12 +105,24 @@ def _lines(part):
     return part.span_hashes(starts, ends), np.searchsorted(part.offsets, starts, "right") - 1
 
 
-def train_model(rows):
-    """Score and its map to (0, 1) from (text, label) rows; a number if a label is missing."""
-    y = np.array([label for _, label in rows])
+def labelled_features(sample: DataFrame):
+    """Features and labels of a sample of label and text, whatever the order of its rows."""
+    found = sample.mapInArrow(_features_of, "label int, x array<double>").collect()
+    found = sorted((tuple(r.x), r.label) for r in found)
+    return np.array([x for x, _ in found]), np.array([y for _, y in found])
+
+
+def _features_of(batches):
+    for batch in batches:
+        x = features(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+
+
+def train_model(sample):
+    """Score and its map to (0, 1) from features and labels; a number if a label is missing."""
+    x, y = sample
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 1.0
-    x = features(pa.array([t for t, _ in rows], pa.string()))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.clip((x - mean) / scale, -20, 20)
     rng = np.random.default_rng(3)

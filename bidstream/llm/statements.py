@@ -5,7 +5,7 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 OP1_MIXING = rf"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size,
-           md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+           md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
     FROM documents
 ), sources AS (
     SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

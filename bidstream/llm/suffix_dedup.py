@@ -43,13 +43,15 @@ LENGTH = 100
 SEED = 24
 SHALLOW = 32
 
+_ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 _SIGHTING = "hash long, block int, many boolean"
 _PLACE = "hash long, block int, doc long, th long, at int, before int, context binary"
 _JUDGED = "block int, hash long, doc long, th long, at int, kept binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (binary)."""
+    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (binary) instead of the text; columns of
+    these names are replaced."""
     if length < 2 * SEED:
         raise ValueError(f"length must be at least {2 * SEED}")
     spark = docs.sparkSession
@@ -64,16 +66,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "binary")):
         out = out.add(name, kind)
     done = by_block.cogroup(judged.groupBy("block")).applyInArrow(partial(_cleaned, length=length), out)
-    return done.select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    return done.select(*[F.col(f"rest.`{c}`") for c in docs.columns if c.lower() not in (*_ADDED, "text")], *_ADDED)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with their repeated strings cut out of the text; a character stays if any of its
     bytes does not repeat, so the text stays valid. A column n_chars follows the text; null stays null."""
+    # The columns travel as one struct, so none of them can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    done = remove_repeats(docs.select("doc_id", "text", row, F.col("text").isNotNull().alias("had_text")), length)
     text = F.decode("kept_text", "UTF-8")
-    done = remove_repeats(docs.withColumn("had_text", F.col("text").isNotNull()), length)
     new = {"text": F.when(F.col("had_text"), text), "n_chars": F.when(F.col("had_text"), F.length(text).cast("long"))}
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 # --- anchors -------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidstream import workspace
@@ -15,6 +15,7 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 
 BLOCK_BYTES = 12 << 20
+_BUCKETS = 32
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,3 +70,12 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
         F.struct(*rest).alias("rest"),
     )
     return rows.repartition(count, "block"), count
+
+
+def smallest(rows: DataFrame, order: list[Column], n: int, buckets: int = _BUCKETS) -> list:
+    """The first ``n`` rows in ``order``, on the driver. At most ``n`` of each of ``buckets`` buckets of
+    tasks get there, however many tasks there are."""
+    bucket = rows.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(buckets)))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    few = bucket.withColumn("_place", place).where(F.col("_place") <= n)
+    return few.select(*rows.columns).orderBy(*order).limit(n).collect()

@@ -3,15 +3,19 @@
 A text is read in overlapping windows, and each window is compressed twice: after ordinary text, and
 after ordinary and toxic text. The difference of the two lengths, in bytes, is what toxic text explains
 of the window. A document's differences (mean, shares over two and three bytes, largest, mean of the
-three largest) are weighed by a logistic calibration on the sample as it is: with few toxic labels, 0.5
-keeps false positives low at the cost of recall.
+three largest) are weighed by a logistic calibration.
 
-Training uses a bounded sample of labelled documents (see ``samples``), lower-cased. The ordinary
-dictionary is trained on windows of ordinary documents. The toxic one is trained on toxic documents
-reduced to words that ``SUPPORT`` of them (four at least) hold and that are ``RATIO`` times rarer in
-ordinary ones: what both kinds share would only add noise to a difference of lengths. That is a
-departure from dictionaries of whole texts: a document whose toxic words are each rarer, or common in
-ordinary text, gains nothing and is kept. The README has figures of this and of whole texts.
+Training uses a bounded sample of labelled documents (see ``samples``), lower-cased. The ordinary dictionary
+is trained on ``ORDINARY_WINDOWS`` windows of ordinary documents, the toxic one on toxic documents without
+the words that tell nothing: kept are words at least ``RATIO`` times rarer in ordinary documents, so much bound to
+toxic ones that labels dealt at random would mark ``CHANCE`` words or fewer among all. Near copies count once. What both kinds share would only add noise to a difference of
+lengths; leaving it out is a departure from dictionaries of whole texts, and the README has figures of both.
+
+Calibration and threshold are cross-fitted: each of ``FOLDS`` parts of the sample is measured with
+dictionaries of the others. The cut at 0.5 is where a share of ``FALSE`` of the ordinary documents lies above.
+Everything is ordered by hashes of texts, so the same
+rows in another order give the same scores. The driver gets at most ``PIECES`` pieces of ``PIECE`` bytes of a
+sampled text, chosen by hash over the whole of it, and the measures of whole texts, which tasks compute.
 
 Defined cases: null and empty texts are one empty window; without toxic or ordinary training rows
 every score is the prior. Whole texts are scored.
@@ -20,7 +24,8 @@ every score is the prior. Whole texts are scored.
 from __future__ import annotations
 
 import collections
-import random
+import hashlib
+import math
 from functools import partial
 
 import numpy as np
@@ -30,11 +35,17 @@ from pyspark.sql import functions as F
 
 from bidstream.llm.logistic import fit, sigmoid
 from bidstream.llm.samples import labelled
-from bidstream.llm.tables import ship
+from bidstream.llm.tables import ship, stored
 
 WINDOW, STRIDE = 64, 48
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
-SUPPORT, RATIO = 0.02, 25.0
+ORDINARY_WINDOWS = 40_000
+RATIO, SUPPORT = 25.0, 0.02
+CHANCE = 10  # words that chance may mark
+FOLDS = 5
+FALSE = 0.005
+PIECES, PIECE = 16, 2_048  # of each sampled text, to learn dictionaries from
+_SKETCH, _ALIKE = 24, 12  # texts that share so many of their smallest word hashes are near copies
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,38 +65,122 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train: Column, label: str
     return docs.mapInArrow(partial(_ordinary_rows, model=model), docs.schema)
 
 
-def train_model(rows):
-    """Dictionaries and calibration from (text, label) rows; only a prior if a label is missing."""
-    texts = {value: [_lowered(t) for t, y in rows if y == value] for value in (0, 1)}
-    if not texts[0] or not texts[1]:
-        return {"prior": float(bool(texts[1]))}
-    model = _dictionaries(texts[0], texts[1])
-    # Calibrated on texts that the dictionaries in use have not seen: two halves, crosswise.
-    x, y = [], []
-    for half in (0, 1):
-        measure = measurer(_dictionaries(texts[0][half::2] or texts[0], texts[1][half::2] or texts[1]))
-        for kind in (0, 1):
-            x += [measure(t) for t in texts[kind][1 - half::2]]
-            y += [float(kind)] * len(texts[kind][1 - half::2])
-    model["calibration"] = fit(np.array(x), np.array(y))
-    return model
-
-
-def _dictionaries(ordinary, toxic):
+# --- training ------------------------------------------------------------------------------------
+
+def train_model(sample: DataFrame):
+    """Dictionaries and calibration from rows of label and text; only a prior if a label is missing."""
+    sample = stored(sample, "labelled")
+    found = sample.mapInArrow(_pieces, "label int, key binary, piece binary").collect()
+    pieces = sorted((bytes(r.key), r.label, bytes(r.piece)) for r in found)
+    if len({label for _, label, _ in pieces}) < 2:
+        return {"prior": float(any(label for _, label, _ in pieces))}
+    folds = [_dictionaries([p for p in pieces if _fold(p[0]) != fold]) for fold in range(FOLDS)]
+    measured = sample.mapInArrow(partial(_measured, folds=folds), "label int, x array<double>").collect()
+    return calibrated(_dictionaries(pieces), sorted((tuple(r.x), r.label) for r in measured))
+
+
+def calibrated(model, measured):
+    """``model`` with the calibration of (measures, label) of cross-fitted documents."""
+    x, y = np.array([m for m, _ in measured]), np.array([float(label) for _, label in measured])
+    curve = fit(x, y)
+    values = curve(x)
+    curve.bias -= float(np.quantile(values[y == 0], 1 - FALSE, method="higher")) + 1e-6
+    return model | {"calibration": curve}
+
+
+def _key(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
+
+
+def _fold(key: bytes) -> int:
+    return key[0] % FOLDS
+
+
+def _pieces(batches):
+    """Pieces of each text, cut at spaces; of a long one those of the smallest hashes."""
+    for batch in batches:
+        out = []
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+            data = _lowered(text)
+            cuts = [0]
+            while cuts[-1] < len(data):
+                end = cuts[-1] + PIECE
+                space = data.rfind(b" ", cuts[-1] + 1, end) if end < len(data) else -1
+                cuts.append(min(space if space > 0 else end, len(data)))
+            some = [data[a:b] for a, b in zip(cuts, cuts[1:])] or [b""]
+            if len(some) > PIECES:
+                some = sorted(some, key=_key)[:PIECES]
+            out += [(label, _key(data), piece) for piece in some]
+        columns = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["label", "key", "piece"])
+
+
+def _measured(batches, folds):
+    """Measures of whole texts by the dictionaries that have not seen them."""
+    measures = [measurer(model) for model in folds]
+    for batch in batches:
+        x = []
+        for text in batch.column("text").to_pylist():
+            data = _lowered(text)
+            x.append([float(v) for v in measures[_fold(_key(data))](data)])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+
+
+def _dictionaries(pieces):
+    """Dictionaries of (key, label, piece), which are in order of their keys."""
     import zstandard
 
-    order = random.Random(1)
-    windows = [w for t in ordinary for w in _windows(t, WINDOW)]
-    order.shuffle(windows)
-    marked = _marked(toxic, ordinary)
-    reduced = [b" " + b" ".join(w for w in t.split() if w in marked) + b" " for t in toxic]
-    order.shuffle(reduced)
+    words = ({}, {})  # of each document, by label
+    for key, label, piece in pieces:
+        words[label].setdefault(key, set()).update(piece.split())
+    kept = marked(words[1], words[0])
+    reduced = {}
+    for key, label, piece in pieces:
+        if label:
+            reduced[key] = reduced.get(key, b" ") + b"".join(w + b" " for w in piece.split() if w in kept)
+    windows = {_key(w): w for _, label, piece in pieces if not label for w in _windows(piece, WINDOW)}
     return {
-        "ordinary": _dictionary(zstandard, windows[:40_000], ORDINARY_BYTES, 32),
-        "toxic": _dictionary(zstandard, reduced, TOXIC_BYTES, 16),
+        "ordinary": _dictionary(zstandard, [windows[k] for k in sorted(windows)[:ORDINARY_WINDOWS]], ORDINARY_BYTES, 32),
+        "toxic": _dictionary(zstandard, [r for r in reduced.values() if len(r) > 1], TOXIC_BYTES, 16),
     }
 
 
+def marked(toxic, ordinary):
+    """Words (of documents as sets of words, by key) that mark toxic documents."""
+    inside = collections.Counter(w for family in _families(toxic) for w in family)
+    outside = collections.Counter(w for found in ordinary.values() for w in found)
+    total, rest = max(1, len(_families(toxic))), max(1, len(ordinary))
+    share = total / (total + rest)
+    chance = math.log(max(2, len(inside) / CHANCE))
+    out = set()
+    for word, n in inside.items():
+        if n >= SUPPORT * total and n / total > RATIO * (outside[word] + 0.5) / rest:
+            both = n + outside[word]
+            # Chernoff's bound of so many toxic ones among ``both`` documents.
+            surprise = n * math.log(n / both / share) + (outside[word] * math.log(outside[word] / both / (1 - share)) if outside[word] else 0)
+            if surprise > chance:
+                out.add(word)
+    return out
+
+
+def _families(documents):
+    """Words of the documents, near copies together."""
+    families, known = [], {}
+    for key in sorted(documents):
+        sketch = sorted(map(_key, documents[key]))[:_SKETCH]
+        alike = collections.Counter(known[h] for h in sketch if h in known)
+        best = max(alike.items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
+        if best[1] >= _ALIKE:
+            families[best[0]] |= documents[key]
+            at = best[0]
+        else:
+            families.append(set(documents[key]))
+            at = len(families) - 1
+        known.update((h, at) for h in sketch)
+    return families
+
+
 def _lowered(text) -> bytes:
     return (text or "").encode().translate(_LOWER)
 
@@ -94,13 +189,6 @@ def _windows(data: bytes, stride: int = STRIDE):
     return [data[i: i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + stride), stride)]
 
 
-def _marked(toxic, ordinary):
-    """Words of toxic documents that ordinary ones lack."""
-    inside, outside = (collections.Counter(w for t in texts for w in set(t.split())) for texts in (toxic, ordinary))
-    least = max(4, SUPPORT * len(toxic))
-    return {w for w, n in inside.items() if n >= least and n / len(toxic) > RATIO * (outside[w] + 0.5) / len(ordinary)}
-
-
 def _dictionary(zstandard, samples, size, segment):
     """A trained dictionary; with too few samples to train on, the samples themselves."""
     samples = [s for s in samples if len(s) >= 8]
@@ -110,6 +198,8 @@ def _dictionary(zstandard, samples, size, segment):
         return b"".join(samples)[-size:] or b" " * 8
 
 
+# --- scoring -------------------------------------------------------------------------------------
+
 def measurer(model):
     """Function from lower-cased bytes to the features of a document."""
     import zstandard

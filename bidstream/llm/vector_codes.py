@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from bidstream.llm.integer_vectors import floors, matrix, smallest, usable
-from bidstream.llm.tables import ship, stored
+from bidstream.llm.integer_vectors import floors, matrix, usable
+from bidstream.llm.tables import ship, smallest, stored
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 BLOCK = 4096

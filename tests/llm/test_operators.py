@@ -203,3 +203,66 @@ def test_classifiers_without_labels(edges, spark, operator):
     labels = spark.createDataFrame([(None, None, None), (4, None, None)], "doc_id long, toxic int, quality int")
     rows = operator.scores(edges, labels, F.lit(False), F.lit(True)).collect()
     assert len(rows) == len(EDGES) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_mixture_takes_what_mixed_takes_of_repeated_rows(spark):
+    docs = spark.createDataFrame(
+        [(None, "a b c d", "x")] * 150 + [(7, "e f g h", "x")] * 50 + [(i, f"w{i} " * (i % 9), "yz"[i % 2]) for i in range(200)], DOCS)
+    want = {r.source: r.taken for r in mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got = {r.source: r.n for r in mixing.mixture(docs).groupBy("source").agg(F.sum(mixing.size_of()).alias("n")).collect()}
+    assert got == want
+
+
+def test_null_ids_use_all_ranges(spark):
+    docs = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    digits = F.conv(F.substring(mixing.key_of(), 1, 8), 16, 10).cast("long")
+    ranges = docs.groupBy(F.floor(digits * 15 / F.lit(16 ** 8)).alias("r")).count().collect()
+    assert len(ranges) == 15 and max(r["count"] for r in ranges) < 5_000
+
+
+@pytest.mark.parametrize("operator", [toxicity, pairwise_quality])
+def test_scores_do_not_depend_on_the_order_of_rows(spark, operator):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["w%d" % rng.randrange(300), "zorks" if i % 4 == 0 else "and"]) for _ in range(80)), "s") for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 != 0)) for i in range(160)], "doc_id long, toxic int, quality int")
+    found = []
+    for order in range(3):
+        random.Random(order).shuffle(rows)
+        scored = operator.scores(spark.createDataFrame(rows, DOCS).repartition(order + 1), labels, F.lit(False), F.lit(True))
+        found.append({r.doc_id: r.score for r in scored.collect()})
+    assert found[0] == found[1] == found[2]
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    from bidstream.llm import samples
+
+    docs = spark.createDataFrame([(1, f"text {i}", "s") for i in range(3_000)] + [(2, None, "s")], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert samples.labelled(docs, labels, "toxic", F.lit(True)).count() == 2
+
+
+def test_frequent_words_are_those_of_the_corpus_and_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "very common words here " * 5 + f" rare{i}", "s") for i in range(400)], DOCS).repartition(40)
+    found = token_counts.frequent_lengths(docs, TOKENIZER)
+    assert {"very", "common", "words", "here"} <= set(found)
+    monkeypatch.setattr(token_counts, "FREQUENT", 4)
+    assert set(token_counts.frequent_lengths(docs, TOKENIZER)) == {"very", "common", "words", "here"}
+
+
+def test_summary_keeps_frequent_words():
+    rng = random.Random(1)
+    counts = {f"w{i}": rng.randrange(1, 50) for i in range(500)} | {f"top{i}": 1000 + i for i in range(20)}
+    held = token_counts.shrunk(counts, counters=100)
+    assert len(held) <= 50 and set(sorted(held, key=held.get)[-20:]) == {f"top{i}" for i in range(20)}
+
+
+def test_suffix_stage_keeps_clashing_columns(spark):
+    from bidstream.llm import suffix_dedup
+
+    docs = spark.createDataFrame(
+        [(1, "x" * 300, 5, "a", 300, True), (2, "ab" * 200, 6, "b", 400, False), (3, None, None, None, None, None)],
+        "doc_id long, text string, n_bytes long, kept_text string, n_chars long, had_text boolean")
+    rows = {r.doc_id: r for r in suffix_dedup.without_repeats(docs).collect()}
+    assert (rows[1].n_bytes, rows[1].kept_text, rows[1].had_text, rows[1].n_chars) == (5, "a", True, len(rows[1].text))
+    assert rows[3].text is None and rows[2].n_bytes == 6
+    assert suffix_dedup.remove_repeats(docs).where("doc_id = 1").first().n_bytes == 300

@@ -29,8 +29,11 @@ class Params:
     # Streams only: how far apart in time two rows of an otherwise unbounded join may be. Given
     # one, pairs further apart are lost; None, as defined, keeps all join state for ever.
     join_horizon: str | None = None
-    # Streams only: parts that the matches of one join key are spread over.
+    # Streams only: parts that the matches of a hot join key are spread over, and the hot auctions and
+    # sellers (see ``streaming.salts``); None, without knowledge of the keys, takes every key for hot.
     join_salts: int = 4
+    hot_auctions: tuple[int, ...] | None = None
+    hot_sellers: tuple[int, ...] | None = None
     # Largest side table that is shipped whole to every executor (two short columns a row).
     broadcast_rows: int = 1_000_000
     # Rows per block when the history of one seller is split over tasks.

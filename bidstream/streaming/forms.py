@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from bidstream.functions import slice_of
 from bidstream.operators import best_match
+from bidstream.operators.hot_keys import part_of, parts_of
 from bidstream.params import Params
 from bidstream.plans import CATALOG
 from bidstream.plans import reports as R
@@ -28,6 +29,7 @@ from bidstream.plans.ranking import last_bids, seller_average, top_bids
 from bidstream.plans.windows import busiest, highest_bids
 from bidstream.sources.events import with_watermarks
 from bidstream.sources.tables import Tables
+from bidstream.streaming.closing import winners
 
 
 @dataclass(frozen=True)
@@ -62,19 +64,16 @@ def _near(left, right, horizon):
     return (left >= right - _interval(horizon)) & (left <= right + _interval(horizon))
 
 
-def _joined(many, one, equal, condition, salts):
+def _joined(many, many_key, one, one_key, condition, hot, salts):
     """Join with the matches of a hot key spread over ``salts`` state partitions.
 
-    Streams are not re-planned at run time, so the split is made up front: each row of the larger
-    side goes to one part, and the smaller side is copied to all of them.
+    Streams are not re-planned at run time, so the split is made up front: a row of the larger side goes
+    to one part, and rows of a hot key of the smaller side are copied to all of them.
     """
-    part = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
-    copies = F.explode(F.array(*[F.lit(n) for n in range(salts)]))
-    return (
-        many.withColumn("_part", part)
-        .join(one.withColumn("_copy", copies), equal & (F.col("_part") == F.col("_copy")) & condition)
-        .drop("_part", "_copy")
-    )
+    many = many.withColumn("_part", part_of(many_key, hot, salts, *many.columns))
+    one = one.withColumn("_copy", F.explode(parts_of(one_key, hot, salts)))
+    equal = (F.col(many_key) == F.col(one_key)) & (F.col("_part") == F.col("_copy"))
+    return many.join(one, equal & condition).drop("_part", "_copy")
 
 
 def _q3(t, p):
@@ -85,8 +84,8 @@ def _q3(t, p):
     )
     auctions = t.auction.where(F.col("category") == p.category).select("id", "seller", "date_time")
     return _joined(
-        auctions, sellers, F.col("seller") == F.col("person_id"),
-        _near(F.col("date_time"), F.col("registered"), p.join_horizon), p.join_salts,
+        auctions, "seller", sellers, "person_id",
+        _near(F.col("date_time"), F.col("registered"), p.join_horizon), p.hot_sellers, p.join_salts,
     ).select("name", "city", "state", "id")
 
 
@@ -102,8 +101,8 @@ def _q20(t, p):
         F.col("ts").alias("bid_date_time"), F.col("extra").alias("bid_extra"),
     )
     return _joined(
-        bid, auction, F.col("auction") == F.col("id"),
-        _near(F.col("bid_date_time"), F.col("auction_date_time"), p.join_horizon), p.join_salts,
+        bid, "auction", auction, "id",
+        _near(F.col("bid_date_time"), F.col("auction_date_time"), p.join_horizon), p.hot_auctions, p.join_salts,
     ).drop("id")
 
 
@@ -124,7 +123,7 @@ def _matched(t, p, columns):
             "expires", F.when(F.col("expires") > last, too_long).otherwise(F.col("expires"))
         )
         while_open &= F.col("ts") <= last
-    return _joined(bid, auction, F.col("auction") == F.col("id"), while_open, p.join_salts)
+    return _joined(bid, "auction", auction, "id", while_open, p.hot_auctions, p.join_salts)
 
 
 def _finals(price):
@@ -149,6 +148,27 @@ def _winners(columns, highest, answer):
     )
 
 
+def _closing(columns, highest, answer):
+    """Winners from state that ends with the auction (see ``closing``); the parts of an auction are merged
+    when the answer is read."""
+
+    def build(t, p):
+        return winners(t.bid, t.auction, columns, highest, p.watermark_delay, p.hot_auctions, p.join_salts)
+
+    def merge(stored, p):
+        return best_match(stored.withColumnRenamed("bid_date_time", "ts"), columns, ["id"], highest)
+
+    return Form(build, merge=merge, declares=True, view=lambda stored, p: answer(merge(stored, p), p))
+
+
+def _finals_of(closed, p):
+    return average_final(closed.select("category", F.col("price").alias("final")))
+
+
+def _sellers_of(closed, p):
+    return seller_average(closed.select("id", "seller", "price", "bid_date_time"), p)
+
+
 def _q6(highest):
     def average(closed, p):
         return seller_average(closed.select("id", "seller", "price", "bid_date_time"), p)
@@ -156,6 +176,7 @@ def _q6(highest):
     return _winners(["id", "seller", "date_time", "expires"], highest, average)
 
 
+_Q6_COLUMNS = ["id", "seller", "date_time", "expires"]
 _Q9_COLUMNS = [
     "id", "item_name", "description", "initial_bid", "reserve", "date_time", "expires", "seller",
     "category",
@@ -256,6 +277,10 @@ FORMS: dict[str, Form] = {
     "q7": Form(_q7, batch=_q7_highest, declares=True, reread=True),
     "q8": Form(CATALOG["q8"]),
     "q9": _winners(_Q9_COLUMNS, True, lambda closed, p: closed),
+    "q4_closing": _closing(["id", "category", "date_time", "expires"], True, _finals_of),
+    "q6_closing": _closing(_Q6_COLUMNS, False, _sellers_of),
+    "q6_winning_closing": _closing(_Q6_COLUMNS, True, _sellers_of),
+    "q9_closing": _closing(_Q9_COLUMNS, True, lambda closed, p: closed),
     "q11": Form(_q11),
     "q12": Form(
         _q12, mode="update", declares=True,

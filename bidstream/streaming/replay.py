@@ -22,8 +22,10 @@ _YEAR = 365 * 86_400_000_000
 _CLOSING_IDS = {"bid": {"auction": -2, "bidder": -2, "price": 0}, "auction": {"id": -1, "seller": -3},
                 "person": {"id": -4}}
 
-# Forms that finish by event time, with the column of their stored rows that holds it.
-CLOSING = {"q5": "starttime", "q7": "date_time", "q8": "starttime", "q11": "session_start"}
+# Forms that finish by event time, with the column of their stored rows that holds it; none where closing
+# rows leave no stored rows, as their auctions have no bids.
+CLOSING = {"q5": "starttime", "q7": "date_time", "q8": "starttime", "q11": "session_start",
+           "q4_closing": None, "q6_closing": None, "q6_winning_closing": None, "q9_closing": None}
 
 
 class Stage(NamedTuple):
@@ -60,6 +62,8 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
     ]
     low = min((s[0] for s in spans if s[0] is not None), default=0)
     high = max((s[1] for s in spans if s[1] is not None), default=0)
+    # Auctions may stay open beyond all data; the closing rows come after them too.
+    last = tables["auction"].agg(F.max(F.unix_micros("expires"))).first()[0] if "auction" in tables else None
     cuts = [low + (high - low) * n // slices for n in range(slices)] + [high + 1]
     for number, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         for name, rows in tables.items():
@@ -68,11 +72,11 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
             mine = mine | at.isNull() if number == 0 else mine
             part = rows.where(mine).select(*_SCHEMA[name].fieldNames())
             _write(part.repartition(files), f"{path}/{name}/data-{number}")
-    end = high + _YEAR
+    end = max(high, last or 0) + _YEAR
     for number in range(2):
         for name in tables:
             moment = end + (1 + number) * _YEAR
-            _write(_closing(spark, name, moment, files), f"{path}/{name}/end-{number}")
+            _write(_closing(spark, name, number, moment, files), f"{path}/{name}/end-{number}")
     return Stage(path, files, end)
 
 
@@ -80,8 +84,9 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def _closing(spark, name, moment, files):
-    fixed = _CLOSING_IDS[name]
+def _closing(spark, name, number, moment, files):
+    # The auctions of the two slices differ.
+    fixed = {field: value - 100 * number if field == "id" else value for field, value in _CLOSING_IDS[name].items()}
 
     def value(field):
         # Every time column is set: Spark may drop rows with a NULL one ahead of the watermark.
@@ -104,6 +109,6 @@ def replay(name: str, staged: Stage, spark: SparkSession, p: Params = Params()):
     query = start(form, tables, f"{folder}/store", f"{folder}/checkpoint", p)
     query.awaitTermination()
     seconds = time.monotonic() - began
-    keep = staged.data(CLOSING[name]) if name in CLOSING else None
+    keep = staged.data(CLOSING[name]) if CLOSING.get(name) else None
     answer = result(form, tables, spark, f"{folder}/store", p, keep=keep)
     return answer, query, seconds

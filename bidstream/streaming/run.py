@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bidstream.params import Params
 from bidstream.sources.tables import Tables
 from bidstream.streaming.forms import Form
+from bidstream.streaming.salts import remembered
 
 
 def start(
@@ -19,6 +20,8 @@ def start(
     once. The default trigger reads all that is available and then stops by itself.
     ``state_partitions`` (default: one per core) is fixed by the first run of a checkpoint.
     """
+    spark = _session(tables)
+    p = remembered(spark, p, checkpoint)
     rows = form.plan(tables, p)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -34,7 +37,6 @@ def start(
     if name:
         writer = writer.queryName(name)
     writer = writer.foreachBatch(keep).trigger(**(trigger or {"availableNow": True}))
-    spark = rows.sparkSession
     # A query copies the session settings when it starts.
     with _setting(
         spark, "spark.sql.shuffle.partitions",
@@ -43,6 +45,10 @@ def start(
         return writer.start()
 
 
+def _session(tables):
+    return next(rows for rows in tables if rows is not None).sparkSession
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value):
     before = spark.conf.get(key)

@@ -36,9 +36,19 @@ def clear(spark: SparkSession) -> None:
         delete(spark, _made.pop())
 
 
+def _located(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    system, path = _located(spark, folder)
+    system.delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    system, path = _located(spark, name)
+    return system.exists(path)
 
 
 @contextmanager

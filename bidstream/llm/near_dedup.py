@@ -43,7 +43,7 @@ WIDTH = 5
 BANDS, ROWS = 24, 5  # bands at THRESHOLD and above; see bands_of
 BATCH = 24  # signature hashes compared at a time
 MISS = 1e-9
-HUB_ROUNDS = 6
+HUB_ROUNDS = 4
 HUB_NODES = 512  # compared with one copy of a hub
 SIEVE_BITS = 22
 
@@ -331,7 +331,8 @@ def _beside_hub(pairs, sides, column):
     """Rows of each hub and copy: the hub's own first, then those of its nodes."""
     hubs = pairs.select("hub", "copy").distinct().withColumn("node", F.col("hub"))
     rows = hubs.withColumn("member", F.lit(0)).unionByName(pairs.select("hub", "copy", "node", F.lit(1).alias("member")))
-    rows = rows.join(_sifted(sides, rows, ["node"]).hint("merge"), "node").select("hub", "copy", "member", "node", column)
+    # No bit map here: over all rounds their broadcasts would pile up on the driver.
+    rows = rows.join(sides.hint("merge"), "node").select("hub", "copy", "member", "node", column)
     return rows.repartition("hub", "copy").sortWithinPartitions("hub", "copy", "member")
 
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import heapq
 import math
 from functools import partial
 
@@ -74,9 +75,10 @@ def train_model(sample: DataFrame):
     pieces = sorted((bytes(r.key), r.label, bytes(r.piece)) for r in found)
     if len({label for _, label, _ in pieces}) < 2:
         return {"prior": float(any(label for _, label, _ in pieces))}
-    folds = [_dictionaries([p for p in pieces if _fold(p[0]) != fold]) for fold in range(FOLDS)]
+    sample_words = _Words(pieces)
+    folds = [_dictionaries([p for p in pieces if _fold(p[0]) != fold], sample_words) for fold in range(FOLDS)]
     measured = sample.mapInArrow(partial(_measured, folds=folds), "label int, x array<double>").collect()
-    return calibrated(_dictionaries(pieces), sorted((tuple(r.x), r.label) for r in measured))
+    return calibrated(_dictionaries(pieces, sample_words), sorted((tuple(r.x), r.label) for r in measured))
 
 
 def calibrated(model, measured):
@@ -127,55 +129,69 @@ def _measured(batches, folds):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
 
-def _dictionaries(pieces):
+class _Words:
+    """The words of a sample as numbers: a few bytes for each word of a document on the driver."""
+
+    def __init__(self, pieces):
+        self.number, found = {}, {}
+        for key, label, piece in pieces:
+            mine = [self.number.setdefault(w, len(self.number)) for w in piece.split()]
+            found.setdefault((key, label), []).append(np.unique(np.array(mine, np.int32)))
+        self.of = {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+        self.hash = np.array([int.from_bytes(_key(w), "big") >> 1 for w in self.number], np.int64)
+
+    def spread(self, documents):
+        """In how many of the documents (arrays of numbers) each word is."""
+        return np.bincount(np.concatenate([*documents, np.zeros(0, np.int32)]), minlength=len(self.number))
+
+
+def _dictionaries(pieces, words):
     """Dictionaries of (key, label, piece), which are in order of their keys."""
     import zstandard
 
-    words = ({}, {})  # of each document, by label
-    for key, label, piece in pieces:
-        words[label].setdefault(key, set()).update(piece.split())
-    kept = marked(words[1], words[0])
+    documents = ({}, {})  # by label
+    for key, label, _ in pieces:
+        documents[label][key] = words.of[key, label]
+    kept = marked(documents[1], documents[0], words)
     reduced = {}
     for key, label, piece in pieces:
         if label:
-            reduced[key] = reduced.get(key, b" ") + b"".join(w + b" " for w in piece.split() if w in kept)
-    windows = {_key(w): w for _, label, piece in pieces if not label for w in _windows(piece, WINDOW)}
+            reduced[key] = reduced.get(key, b" ") + b"".join(w + b" " for w in piece.split() if words.number[w] in kept)
+    windows = heapq.nsmallest(ORDINARY_WINDOWS, {_key(w): w for _, label, piece in pieces if not label for w in _windows(piece, WINDOW)}.items())
     return {
-        "ordinary": _dictionary(zstandard, [windows[k] for k in sorted(windows)[:ORDINARY_WINDOWS]], ORDINARY_BYTES, 32),
+        "ordinary": _dictionary(zstandard, [w for _, w in windows], ORDINARY_BYTES, 32),
         "toxic": _dictionary(zstandard, [r for r in reduced.values() if len(r) > 1], TOXIC_BYTES, 16),
     }
 
 
-def marked(toxic, ordinary):
-    """Words (of documents as sets of words, by key) that mark toxic documents."""
-    inside = collections.Counter(w for family in _families(toxic) for w in family)
-    outside = collections.Counter(w for found in ordinary.values() for w in found)
-    total, rest = max(1, len(_families(toxic))), max(1, len(ordinary))
+def marked(toxic, ordinary, words):
+    """Numbers of the words (of documents as arrays of numbers, by key) that mark toxic documents."""
+    families = _families(toxic, words)
+    inside, outside = words.spread(families), words.spread(ordinary.values())
+    total, rest = max(1, len(families)), max(1, len(ordinary))
     share = total / (total + rest)
-    chance = math.log(max(2, len(inside) / CHANCE))
+    chance = math.log(max(2, np.count_nonzero(inside) / CHANCE))
     out = set()
-    for word, n in inside.items():
-        if n >= SUPPORT * total and n / total > RATIO * (outside[word] + 0.5) / rest:
-            both = n + outside[word]
-            # Chernoff's bound of so many toxic ones among ``both`` documents.
-            surprise = n * math.log(n / both / share) + (outside[word] * math.log(outside[word] / both / (1 - share)) if outside[word] else 0)
-            if surprise > chance:
-                out.add(word)
+    for word in np.flatnonzero((inside >= SUPPORT * total) & (inside / total > RATIO * (outside + 0.5) / rest)):
+        n, other = int(inside[word]), int(outside[word])
+        # Chernoff's bound of so many toxic ones among all documents with the word.
+        surprise = n * math.log(n / (n + other) / share) + (other * math.log(other / (n + other) / (1 - share)) if other else 0)
+        if surprise > chance:
+            out.add(int(word))
     return out
 
 
-def _families(documents):
+def _families(documents, words):
     """Words of the documents, near copies together."""
     families, known = [], {}
     for key in sorted(documents):
-        sketch = sorted(map(_key, documents[key]))[:_SKETCH]
+        sketch = np.sort(words.hash[documents[key]])[:_SKETCH].tolist()
         alike = collections.Counter(known[h] for h in sketch if h in known)
-        best = max(alike.items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
-        if best[1] >= _ALIKE:
-            families[best[0]] |= documents[key]
-            at = best[0]
+        at, shared = max(alike.items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
+        if shared >= _ALIKE:
+            families[at] = np.union1d(families[at], documents[key])
         else:
-            families.append(set(documents[key]))
+            families.append(documents[key])
             at = len(families) - 1
         known.update((h, at) for h in sketch)
     return families

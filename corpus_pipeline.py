@@ -55,7 +55,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Compression distance and packing are not expressible in SQL; tests/llm compares with brute force.
+# Compression distance and packing are not expressible in SQL. tests/llm tests the stages one after the other and
+# their operators against brute force or held-out labels; the whole of run() is not compared with anything.
 ORACLE_SQL = None
 
 

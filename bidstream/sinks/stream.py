@@ -1,8 +1,13 @@
 """Stream sinks. Each returns a configured writer or a started query."""
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from bidstream import workspace
+from bidstream.sinks import store
 from bidstream.sinks.batch import as_json_lines
 
 
@@ -40,45 +45,62 @@ def changes_stream(rows, name, checkpoint, path, mode="update"):
     return _writer(rows, name, checkpoint, mode).foreachBatch(store)
 
 
+def stored_stream(rows, name, checkpoint, path, mode, merge=None, fan=8, replace=False):
+    """Micro-batches into a store (see ``store``), each counted once; rows carry their ``batch_id``."""
+
+    def add(batch, batch_id):
+        numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        owner = query_id(batch.sparkSession, checkpoint)
+        store.add(numbered, batch_id, path, owner, merge, fan, replace)
+
+    return _writer(rows, name, checkpoint, mode).foreachBatch(add)
+
+
+def query_id(spark, checkpoint) -> str:
+    """The id that a query keeps across restarts from its checkpoint."""
+    return json.loads(workspace.read_text(spark, f"{checkpoint}/metadata"))["id"]
+
+
 def snapshot_stream(rows, name, checkpoint, path):
-    """Materialized view: the complete result, rewritten by each micro-batch.
+    """Materialized view: the complete result, rewritten by each micro-batch and swapped in whole.
 
-    Each version has a directory of its own; ``latest_snapshot`` reads the newest finished one.
+    For a result with a key, ``upsert_stream`` writes only the rows that changed.
     """
-    return changes_stream(rows, name, checkpoint, path, mode="complete")
+    return stored_stream(rows, name, checkpoint, path, "complete", replace=True)
 
 
 def latest_snapshot(spark, path, schema) -> DataFrame:
-    """The newest version whose writer has committed; one being written or replaced is passed over."""
-    done = _committed(spark, path)
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/batch_id={max(done)}")
+    """The newest committed version; one being written is passed over."""
+    return store.read(spark, path, schema)
+
 
+def upsert_stream(rows, name, checkpoint, path, keys=None, fan=8):
+    """Changed rows of an updating query; ``upserted`` reads the newest row per key.
 
-def _committed(spark, path) -> list[int]:
-    """Numbers of the batch directories that hold a commit marker."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/_SUCCESS")
-    system = marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = [found.getPath().getParent().getName() for found in system.globStatus(marker)]
-    return [int(name.removeprefix("batch_id=")) for name in names]
+    With ``keys``, rows that a newer one replaced go when levels are merged, so that the store follows the
+    number of keys and not the age of the stream. Without, every change stays.
+    """
 
+    def merge(stored):
+        return _newest(stored, keys, F.max("batch_id").alias("batch_id"))
 
-def upsert_stream(rows, name, checkpoint, path):
-    """Changed rows of an updating query; ``upserted`` reads the newest row per key."""
-    return changes_stream(rows, name, checkpoint, path, mode="update")
+    return stored_stream(rows, name, checkpoint, path, "update", merge if keys else None, fan)
 
 
 def upserted(spark, path, schema, keys) -> DataFrame:
-    stored = spark.read.schema(f"{_ddl(schema)}, batch_id BIGINT").parquet(path)
-    return newest_per_key(stored, keys)
+    return newest_per_key(store.read(spark, path, _numbered(schema)), keys)
 
 
 def newest_per_key(stored: DataFrame, keys) -> DataFrame:
+    return _newest(stored, keys)
+
+
+def _newest(stored, keys, *more):
     values = [c for c in stored.columns if c not in (*keys, "batch_id")]
     newest = F.max_by(F.struct(*values), "batch_id").alias("_newest")
-    return stored.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+    kept = stored.groupBy(*keys).agg(newest, *more)
+    return kept.select(*keys, "_newest.*", *[c for c in kept.columns if c == "batch_id"])
 
 
-def _ddl(schema):
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+def _numbered(schema):
+    return StructType([*schema.fields, StructField("batch_id", LongType())])

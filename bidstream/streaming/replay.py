@@ -100,13 +100,13 @@ def _closing(spark, name, number, moment, files):
     )
 
 
-def replay(name: str, staged: Stage, spark: SparkSession, p: Params = Params()):
+def replay(name: str, staged: Stage, spark: SparkSession, p: Params = Params(), fan: int = 8):
     """Run one form over a staged log until it is drained: (result frame, finished query, seconds)."""
     form = FORMS[name]
     tables = staged.tables(spark, closing=name in CLOSING)
     folder = workspace.fresh(spark, f"replay-{name}")
     began = time.monotonic()
-    query = start(form, tables, f"{folder}/store", f"{folder}/checkpoint", p)
+    query = start(form, tables, f"{folder}/store", f"{folder}/checkpoint", p, fan=fan)
     query.awaitTermination()
     seconds = time.monotonic() - began
     keep = staged.data(CLOSING[name]) if CLOSING.get(name) else None

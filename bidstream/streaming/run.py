@@ -5,6 +5,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from bidstream.params import Params
+from bidstream.sinks import store as stores
+from bidstream.sinks.stream import query_id
 from bidstream.sources.tables import Tables
 from bidstream.streaming.forms import Form
 from bidstream.streaming.salts import remembered
@@ -13,22 +15,26 @@ from bidstream.streaming.salts import remembered
 def start(
     form: Form, tables: Tables, store: str, checkpoint: str, p: Params = Params(),
     name: str | None = None, trigger: dict | None = None, state_partitions: int | None = None,
+    fan: int = 8,
 ):
-    """Run a form over streaming tables, storing each micro-batch under ``store``.
+    """Run a form over streaming tables, adding each micro-batch to the store at ``store``.
 
-    A batch that is retried after a failure overwrites its own directory, so every batch counts
-    once. The default trigger reads all that is available and then stops by itself.
+    A batch that is retried after a failure counts once. Rows of forms with ``merge`` are merged in
+    levels of ``fan`` parts while the stream runs (see ``sinks.store``), so the store follows the
+    number of groups. The default trigger reads all that is available and then stops by itself.
     ``state_partitions`` (default: one per core) is fixed by the first run of a checkpoint.
     """
     spark = _session(tables)
     p = remembered(spark, p, checkpoint)
     rows = form.plan(tables, p)
+    merge = None if form.merge is None else lambda stored: form.merge(stored, p)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist() if form.reread else batch
         try:
             out = held if form.batch is None else form.batch(held, p)
-            out.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+            owner = query_id(batch.sparkSession, checkpoint)
+            stores.add(out, batch_id, store, owner, merge, fan)
         finally:
             if form.reread:
                 held.unpersist()
@@ -65,7 +71,7 @@ def stored_rows(form: Form, tables: Tables, spark: SparkSession, store: str, p:
     rows = spark.createDataFrame([], empty)
     if form.batch is not None:
         rows = form.batch(rows, p)
-    return spark.read.schema(rows.schema).parquet(store).select(*rows.columns)
+    return stores.read(spark, store, rows.schema)
 
 
 def result(
@@ -79,8 +85,8 @@ def result(
 
 
 def compact(form: Form, tables: Tables, spark: SparkSession, store: str, into: str, p=Params()) -> None:
-    """Merge the stored rows of a form with ``merge`` into one new batch directory under ``into``."""
+    """Merge all stored rows of a form with ``merge`` into one part, the whole of the store at ``into``."""
     if form.merge is None:
         raise ValueError("only forms with mergeable rows can be compacted")
     merged = form.merge(stored_rows(form, tables, spark, store, p), p)
-    merged.write.mode("overwrite").parquet(f"{into}/batch_id=0")
+    stores.add(merged, stores.current(spark, into).last + 1, into, replace=True)

@@ -51,6 +51,35 @@ def exists(spark: SparkSession, name: str) -> bool:
     return system.exists(path)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders directly in a folder; none if it does not exist."""
+    system, path = _located(spark, folder)
+    return [found.getPath().getName() for found in system.listStatus(path)] if system.exists(path) else []
+
+
+def read_text(spark: SparkSession, name: str) -> str:
+    system, path = _located(spark, name)
+    source = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """A new small file that others see whole or not at all: drafted beside its place, then renamed."""
+    system, path = _located(spark, name)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}-{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if system.exists(path) or not system.rename(draft, path):
+        system.delete(draft, False)
+        raise FileExistsError(name)
+
+
 @contextmanager
 def temporary(spark: SparkSession):
     """Folders that ``fresh`` names inside are deleted at the end, but those added to the yielded list."""

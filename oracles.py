@@ -237,7 +237,7 @@ STATEMENTS = {
         UNION ALL SELECT 'q22_r', count(*), count(*) FROM bid""",
     "q12_totals": "SELECT bidder, CAST(count(*) AS BIGINT) AS bid_count FROM bid GROUP BY bidder",
     **{name: "SELECT channel, count(*) AS bids, max(price) AS highest FROM bid GROUP BY channel"
-       for name in ("materialized_view", "upserted_view", "appended_changes")},
+       for name in ("materialized_view", "snapshot_view", "upserted_view", "appended_changes")},
 }
 STATEMENTS |= {
     "replicated_log": STATEMENTS["keyed_log"],

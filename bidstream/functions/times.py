@@ -1,5 +1,3 @@
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,11 +51,6 @@ def slice_of(time, width: str) -> Column:
     return F.coalesce(micros - F.pmod(micros, F.lit(micros_of(width))), F.lit(-(1 << 63)))
 
 
-def common_slice(size: str, slide: str) -> str:
-    """The widest slice that sliding windows are made of."""
-    return f"{math.gcd(seconds_of(size), seconds_of(slide))} seconds"
-
-
 def hop_starts(time, size: str, slide: str) -> Column:
     """Starts, in epoch microseconds, of every sliding window that holds a time."""
     step, length = micros_of(slide), micros_of(size)

@@ -1,134 +1,51 @@
-"""Winning bids of auctions that close: keyed state with one event-time timer per auction.
+"""Winning bids of auctions that close: one session window per auction, which ends when it expires.
 
-The state of an auction is its row and its best bid so far. When the watermark passes ``expires`` no bid of
-it can come any more: the winner goes out and the state goes. Bids ahead of their auction wait in a list
-until the watermark passes them, because from then on their auction would be late. So the state follows
-the auctions that are open, without a constant bound on their length.
+An auction is an event whose session lasts from ``date_time`` to ``expires``; a bid is an event that lasts for
+a moment. Sessions of one id that overlap are one, so an auction's session holds the bids made while it was
+open, and keeps the best of them and the auction's row. When the watermark passes its end no bid of it can come
+any more: the winner goes out and the state goes. Bids ahead of their auction are sessions of their own, until
+the auction joins them or the watermark passes them. So the state follows the auctions that are open,
+without a constant bound on their length, and a micro-batch touches only sessions that it has rows of.
 
 A hot auction (any, if ``hot`` is None) is copied to ``salts`` parts and its bids are spread over them, so
 that it is no single task's; each part gives the best of its own bids, and the answer is the best of the parts.
 
-Rows later than the watermark are dropped by Spark. Auctions that end before they begin, or without
-either time, and bids without a time, a price or an auction match nothing. An id is one auction: a
-second, different row of it fails the query, and a repeated one changes nothing.
+Events whose session ended before the watermark are dropped by Spark. Auctions that end before they begin, or
+without either time, and bids without a time, a price or an auction match nothing. An id is one auction at a
+time: a different row of it that overlaps it in time fails the query, and a repeated one changes nothing.
 """
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from bidstream.operators.hot_keys import part_of, parts_of
 
-# Workers need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Times are microseconds in the state.
-_BID = StructType([StructField(name, LongType()) for name in ("price", "ts", "bidder")])
-
 
 def winners(bid: DataFrame, auction: DataFrame, columns: list[str], highest: bool, delay: str, hot: tuple | None, salts: int) -> DataFrame:
     """``columns`` of each closed auction that had a bid, with auction, bidder, price and bid_date_time of the
     best bid of each part. ``columns`` name id, date_time and expires."""
-    times = {f.name for f in auction.schema if isinstance(f.dataType, TimestampType)}
-    carried = [(F.unix_micros(c) if c in times else F.col(c)).alias(c) for c in columns]
-    row_type = auction.select(*carried).schema
-    none = F.lit(None)
+    order = -F.col("price") if highest else F.col("price")
+    carried = F.struct(*columns)
+    offer = F.struct(order.alias("order"), "ts", "bidder")
     bids = bid.where("price IS NOT NULL AND ts IS NOT NULL AND auction IS NOT NULL").select(
-        F.col("auction").alias("_id"), part_of("auction", hot, salts, "bidder", "price", "ts").alias("_part"), F.col("ts").alias("_at"),
-        F.struct("price", F.unix_micros("ts").alias("ts"), "bidder").alias("bid"), none.cast(row_type).alias("row"))
+        F.col("auction").alias("_id"), part_of("auction", hot, salts, "bidder", "price", "ts").alias("_part"),
+        F.unix_micros("ts").alias("_from"), F.unix_micros("ts").alias("_to"), offer.alias("bid"))
     rows = auction.where("id IS NOT NULL AND date_time <= expires").select(
-        F.col("id").alias("_id"), F.explode(parts_of("id", hot, salts)).alias("_part"), F.col("date_time").alias("_at"),
-        none.cast(_BID).alias("bid"), F.struct(*carried).alias("row"))
-    events = bids.unionByName(rows).withWatermark("_at", delay)
-    out = StructType([*row_type, *[StructField(name, LongType()) for name in ("auction", "bidder", "price", "bid_date_time")]])
-    closed = events.groupBy("_id", "_part").transformWithState(Closer(row_type, highest), out, "Append", "EventTime")
-    return closed.select(*[F.timestamp_micros(c).alias(c) if c in times or c == "bid_date_time" else F.col(c) for c in out.fieldNames()])
-
-
-class Closer(StatefulProcessor):
-    """State of one part of one auction: its row, its best bid, and bids that came before it."""
-
-    def __init__(self, carried: StructType, highest: bool):
-        self.carried, self.highest = carried, highest
-
-    def init(self, handle):
-        self.handle = handle
-        self.row = handle.getValueState("row", self.carried)
-        self.best = handle.getValueState("best", _BID)
-        self.early = handle.getListState("early", _BID)
-
-    def handleInputRows(self, key, rows, timerValues):
-        bids, row = [], None
-        for event in rows:
-            if event["row"] is None:
-                bids.append(tuple(event["bid"][name] for name in _BID.fieldNames()))
-                continue
-            new = tuple(event["row"][name] for name in self.carried.fieldNames())
-            if row not in (None, new):
-                raise ValueError(f"two different auctions of id {key[0]}")
-            row = new
-        known = tuple(self.row.get()) if self.row.exists() else None
-        if row is not None and known is None:
-            self.row.update(row)
-            self.handle.registerTimer(_after(self._expires(row)))
-            if self.early.exists():
-                bids += [tuple(b) for b in self.early.get()]
-                self.early.clear()
-            known = row
-        elif row not in (None, known):
-            raise ValueError(f"two different auctions of id {key[0]}")
-        if known is None:
-            self.early.appendList(bids)
-            self.handle.registerTimer(_after(max(b[1] for b in bids)))
-        elif bids:
-            self._keep_best(known, bids)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        if not self.row.exists():
-            waiting = [tuple(b) for b in self.early.get()] if self.early.exists() else []
-            left = [b for b in waiting if _after(b[1]) > now]
-            if left:
-                self.early.put(left)
-            elif waiting:
-                self.early.clear()
-            return
-        row = tuple(self.row.get())
-        if _after(self._expires(row)) > now:
-            return  # a timer of early bids
-        if self.best.exists():
-            price, ts, bidder = self.best.get()
-            yield self._out(row, price, ts, bidder)
-            self.best.clear()
-        self.row.clear()
-
-    def _out(self, row, price, ts, bidder):
-        from pyspark.sql import Row
-
-        names = [*self.carried.fieldNames(), "auction", "bidder", "price", "bid_date_time"]
-        return Row(*names)(*row, row[self.carried.fieldNames().index("id")], bidder, price, ts)
-
-    def _keep_best(self, row, bids):
-        opens = row[self.carried.fieldNames().index("date_time")]
-        valid = [b for b in bids if opens <= b[1] <= self._expires(row)]
-        if self.best.exists():
-            valid.append(tuple(self.best.get()))
-        if valid:
-            self.best.update(min(valid, key=self._order))
-
-    def _order(self, bid):
-        price, ts, bidder = bid
-        return -price if self.highest else price, ts, bidder is not None, bidder
-
-    def _expires(self, row):
-        return row[self.carried.fieldNames().index("expires")]
-
-
-def _after(micros) -> int:
-    """The first whole millisecond after a time."""
-    return micros // 1000 + 1
+        F.col("id").alias("_id"), F.explode(parts_of("id", hot, salts)).alias("_part"),
+        F.unix_micros("date_time").alias("_from"), F.unix_micros("expires").alias("_to"), carried.alias("row"))
+    # Both ends belong to an auction, but sessions that only touch are one too. So times count half
+    # microseconds, and every session ends half a microsecond after its last moment.
+    lasts = F.make_interval(secs=((F.col("_to") - F.col("_from")) * 2 + 1).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+    events = (
+        bids.unionByName(rows, allowMissingColumns=True)
+        .select("_id", "_part", F.timestamp_micros(F.col("_from") * 2).alias("_at"), lasts.alias("_lasts"), "bid", "row")
+        .withWatermark("_at", f"{delay} {delay}")
+    )
+    closed = events.groupBy("_id", "_part", F.session_window("_at", F.col("_lasts"))).agg(
+        F.min("bid").alias("best"), F.min("row").alias("row"), F.max("row").alias("_other"))
+    different = F.raise_error(F.concat(F.lit("two different auctions of id "), "_id")).cast("boolean")
+    whole = F.when(F.col("row").eqNullSafe(F.col("_other")), F.col("row").isNotNull() & F.col("best").isNotNull())
+    won = F.col("best.order")
+    return closed.where(whole.otherwise(different)).select(
+        "row.*", F.col("row.id").alias("auction"), "best.bidder", (-won if highest else won).alias("price"),
+        F.col("best.ts").alias("bid_date_time"))

@@ -1,5 +1,7 @@
 """Streams whose state ends with the auction, and salts of hot keys only."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,27 @@ def test_two_different_auctions_of_one_id_fail(spark, make, tmp_path):
         replay("q4_closing", staged, spark)
 
 
+def test_both_ends_belong_to_an_auction_and_sessions_that_touch_do_not_mix(spark, make, tmp_path):
+    """Bids in a row of microseconds across both ends, an auction of one moment, and auctions back to back."""
+    def micros(n):
+        return at("01:00:00") + timedelta(microseconds=n)
+
+    auctions = [{"id": 1, "category": 1, "date_time": micros(3), "expires": micros(6)},
+                {"id": 2, "category": 2, "date_time": micros(4), "expires": micros(4)}]
+    bids = [{"auction": a, "bidder": n, "price": 100 + abs(n - 5), "ts": micros(n)} for a in (1, 2) for n in range(12)]
+    tables = make(bid=bids, auction=auctions)
+    staged = stage(tables, str(tmp_path / "staged"), slices=3, files=2)
+    p = Params(hot_auctions=(), watermark_delay="10 seconds")
+    for name in ("q6", "q9"):
+        answer, _, _ = replay(f"{name}_closing", staged, spark, p)
+        assert same(answer, CATALOG[name](tables, p))
+
+
+def test_closing_runs_no_python_for_each_auction(spark, staged):
+    plan = FORMS["q9_closing"].plan(staged.tables(spark, closing=True), Params())._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "Python" not in plan and "TransformWithState" not in plan
+
+
 # --- hot keys ------------------------------------------------------------------------------------
 
 def test_sketches_combine_and_find_hot_keys(spark):

@@ -107,5 +107,9 @@ def first_bids(bid: DataFrame, n: int) -> DataFrame:
 
 
 def replicate(keyed_rows: DataFrame, partitions: int, key: str = "key") -> DataFrame:
-    """Lay a keyed log out for replay; its keys are dealt round-robin, so the parts are even."""
-    return keyed_rows.repartition(partitions, key)
+    """Lay a keyed log out for replay in even parts, of which there may be more than keys.
+
+    With fewer keys than parts a key takes several of them, so no part grows with the rows of a key.
+    """
+    others = [c for c in keyed_rows.columns if c != key]
+    return keyed_rows.repartition(partitions, key, *others)

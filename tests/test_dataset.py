@@ -64,6 +64,13 @@ def test_replicate(spark):
     assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
 
 
+def test_replicate_spreads_a_key_over_parts(spark):
+    """Four keys in sixteen parts: none is empty, and none holds a whole key."""
+    rows = spark.range(8_000).select(F.concat(F.lit("p"), F.col("id") % 4).alias("key"), "id")
+    parts = replicate(rows, 16).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 16 and max(r["count"] for r in parts) < 1_000
+
+
 def test_clear_deletes_what_was_staged(spark, monkeypatch):
     monkeypatch.setattr(workspace, "_made", [])
     path = workspace.fresh(spark, "short-lived")

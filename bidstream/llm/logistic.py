@@ -22,14 +22,22 @@ class Linear:
 
 def newton(x, y, penalty, free, steps=50):
     """Weights that minimise sum of log(1 + exp(-(2y - 1) x w)) + penalty / 2 |w|^2, w[free] unpenalised."""
-    w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[free] = 1e-9
-    for _ in range(steps):
+
+    def at(w):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - y) + ridge * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curvature, gradient)
+        return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
+
+    return descend(at, ridge, steps)
+
+
+def descend(at, ridge, steps=50):
+    """Newton steps on a loss plus ridge / 2 |w|^2; ``at`` gives gradient and curvature of the loss at w."""
+    w = np.zeros(len(ridge))
+    for _ in range(steps):
+        gradient, curvature = at(w)
+        step = np.linalg.solve(curvature + np.diag(ridge), gradient + ridge * w)
         step /= max(1.0, np.abs(step).max() / 2)
         w -= step
         if np.abs(step).max() < 1e-8:

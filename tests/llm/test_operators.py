@@ -266,3 +266,47 @@ def test_suffix_stage_keeps_clashing_columns(spark):
     assert (rows[1].n_bytes, rows[1].kept_text, rows[1].had_text, rows[1].n_chars) == (5, "a", True, len(rows[1].text))
     assert rows[3].text is None and rows[2].n_bytes == 6
     assert suffix_dedup.remove_repeats(docs).where("doc_id = 1").first().n_bytes == 300
+
+
+def _quality_rows(n, odd=()):
+    """Texts of n good and n bad documents; those of ``odd`` ids look like the other label."""
+    good = {i: (i % 2 == 0) != (i in odd) for i in range(2 * n)}
+    return [(i, f"a plain sentence of number {i}, with some words." if good[i] else f"# $ {i} # $ !! ##", "s") for i in range(2 * n)]
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    n = 3_300
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(2 * n)], "doc_id long, quality int")
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    # The last of each label in hash order, which a sample of the first 3,000 leaves out.
+    last = {i for value in (0, 1) for i in [i for i in order if i % 2 == value][3_000:]}
+    found = []
+    for odd in ((), last):
+        scored = pairwise_quality.scores(spark.createDataFrame(_quality_rows(n, odd), DOCS), labels, F.lit(False), F.lit(True))
+        found.append({r.doc_id: r.score for r in scored.where("doc_id < 200").collect() if r.doc_id not in last})
+    assert all(found[0][i] != found[1][i] for i in found[0])
+
+
+@pytest.mark.parametrize("rare", [3, 40])
+def test_quality_blocks_hold_all_documents_and_both_labels(spark, monkeypatch, rare):
+    monkeypatch.setattr(pairwise_quality, "BLOCK", 10)
+    rng = np.random.default_rng(2)
+    width = len(pairwise_quality._CLASSES) + 10
+    x, y = rng.normal(size=(200 + rare, width)), np.arange(200 + rare) >= rare
+    x[:, 0] += y
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(len(x))], "doc_id long, label int, x array<double>")
+    mean, scale = pairwise_quality.moments(rows, len(x))
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(scale, x.std(axis=0))
+    blocks = pairwise_quality._blocks(rows, (rare, 200), mean, scale)
+    sides = [[np.frombuffer(side, float).reshape(-1, width) for side in (r.good, r.bad)] for r in blocks.collect()]
+    z = np.clip((x - mean) / scale, -20, 20)
+    assert len(sides) == 20 and all(len(good) == 10 and len(bad) for good, bad in sides)
+    for side, want in ((0, z[y]), (1, z[~y])):
+        assert np.allclose(np.unique(np.concatenate([s[side] for s in sides]), axis=0), np.unique(want, axis=0))
+    played = np.concatenate([pairwise_quality.games(*s) for s in sides])
+    from bidstream.llm.logistic import newton
+
+    want = newton(played, np.ones(len(played)), pairwise_quality.RIDGE * len(played), [])
+    assert np.allclose(pairwise_quality.fit_games(blocks, width), want, atol=1e-6)
+    values = spark.createDataFrame([(float(v),) for v in x[:, 0]], "value double")
+    assert np.isclose(pairwise_quality.quantile(values, 0.3, len(x)), np.quantile(x[:, 0], 0.3))

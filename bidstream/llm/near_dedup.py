@@ -9,8 +9,8 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
 3. Signatures are cut into bands; classes that agree in a band are candidates. At the threshold a
    pair shares no band with probability (1 - t^ROWS)^bands, at most 8e-7 at any threshold: 24 bands
    at 0.85, 36 at 0.8.
-4. Candidates are compared with a hub, not with each other: in each of ``HUB_ROUNDS`` rounds a member with
-   the best hub of its buckets that it is not connected to, best-linked members being hubs. What buckets
+4. Candidates are compared with a hub, not with each other: in up to ``HUB_ROUNDS`` rounds a member with
+   the best hub of its buckets that it is not connected to, members of the largest buckets being hubs. What buckets
    then still hold of different components is compared where exact prefix and position bounds on the sets
    allow a link. So no pair of a bucket is lost, and a large group costs a few comparisons per member.
 5. Verification: signatures are compared in batches; after n hashes with m agreements the posterior
@@ -212,15 +212,18 @@ def _links(members, signatures, texts, threshold):
     """Verified links that connect every pair of a bucket that is similar.
 
     In a round every member is compared with one hub: of the hubs of its buckets, the best. So a round
-    has at most one pair per member, however many buckets a group of copies shares.
+    has at most one pair per member, however many buckets a group of copies shares. The rounds end early if
+    they find little; the rest is left to ``_compatible``.
     """
-    members = members.withColumn("component", F.col("node"))
-    links = compared = degree = None
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    # Nodes that share buckets with many others are similar to most of them: as hubs they link a group in few rounds.
+    central = members.join(sizes.hint("merge"), "bucket").groupBy("node").agg(F.sum("size").cast("double").alias("met"))
+    members = stored(members.join(central.hint("merge"), "node").select("bucket", "node", "met", F.col("node").alias("component")), "members")
+    links = compared = None
     for round_ in range(HUB_ROUNDS):
-        # Best-linked members first, then by a hash of the round.
-        ranked = members.withColumn("degree", F.lit(0)) if degree is None else members.join(degree.hint("merge"), "node", "left")
-        rank = F.coalesce("degree", F.lit(0)) * F.lit(1 << 32) + F.crc32(F.concat_ws(":", "node", F.lit(round_)))
-        ranked = ranked.withColumn("rank", rank)
+        # The most central ones first, then others of them, by a hash of the round.
+        chance = F.crc32(F.concat_ws(":", "node", F.lit(round_)))
+        ranked = members.withColumn("rank", F.struct(F.col("met") * (chance if round_ else 1), chance))
         hubs = ranked.groupBy("bucket").agg(
             F.max_by("node", "rank").alias("hub"), F.max_by("component", "rank").alias("hub_component"), F.max("rank").alias("hub_rank"))
         met = members.join(hubs.hint("merge"), "bucket").where("component != hub_component")
@@ -230,6 +233,8 @@ def _links(members, signatures, texts, threshold):
         found = stored(verified(pairs, signatures, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
         compared = pairs if compared is None else compared.unionByName(pairs)
+        if round_ == HUB_ROUNDS - 1 or 100 * found.count() <= pairs.count():
+            break  # the comparisons of a further round would find little that the next step does not
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = stored(ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node"), "degrees")
         # Members linked to one and the same document are connected: its best-linked neighbour,
@@ -248,8 +253,8 @@ def _links(members, signatures, texts, threshold):
 def _unsettled(members, labels, compared):
     """Members, with their components, of buckets of several components; not those of two members
     that have been compared."""
-    members = members.select("bucket", "node").join(labels.hint("merge"), "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component"))
+    members = members.select("bucket", "node", "met").join(labels.hint("merge"), "node", "left").select(
+        "bucket", "node", "met", F.coalesce("component", "node").alias("component"))
     open_ = members.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"),
         F.count(F.lit(1)).alias("size")).where("low < high")

@@ -70,6 +70,26 @@ def test_near_duplicates_link_every_text_of_a_document(spark):
         (d, 10 * g) for g in range(20) for d in (10 * g, 10 * g + 1, 1000 + g)}
 
 
+def test_a_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
+    # Copies with three words of their own are linked to the original, and similar at 0.82 to each other.
+    rng = random.Random(5)
+    original = [f"w{i}" for i in range(300)]
+    docs = [(1000, " ".join(original), "a")]
+    for n in range(150):
+        copy = list(original)
+        for i in rng.sample(range(5, 295), 3):
+            copy[i] = f"own{n}-{i}"
+        docs.append((n, " ".join(copy), "a"))
+    compared = []
+    verified = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert sum(compared) <= 4 * len(docs), compared
+    texts = {d[0]: _shingles(d[1]) for d in docs}
+    linked = [n for n in range(150) if 100 * len(texts[n] & texts[1000]) >= 85 * len(texts[n] | texts[1000])]
+    assert len(linked) > 140 and {r.component_id for r in rows if r.doc_id in (*linked, 1000)} == {linked[0]}
+
+
 def test_least_agreements_grow_and_never_drop_equal_sets():
     least = near_dedup.least_agreements(0.85)
     assert all(m <= n for n, m in least) and [m for _, m in least] == sorted(m for _, m in least)

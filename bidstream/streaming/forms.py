@@ -10,6 +10,9 @@ Queries whose result Spark can finalise by event time need only ``build`` (appen
 the definition has no time bound, or needs a second unbounded step, micro-batches store small
 mergeable rows and ``view`` combines them; nothing is read back or rewritten while the stream
 runs, and no state grows inside the stream.
+
+A join of two streams is given by its ``sides``, the larger one first, and the ``pairs`` of them. With a bound
+on time Spark's own state holds the sides; without one they are kept in stores (see ``kept``).
 """
 
 from dataclasses import dataclass
@@ -43,6 +46,12 @@ class Form:
     declares: bool = False
     # The micro-batch is read more than once; keep it so that state is advanced only once.
     reread: bool = False
+    sides: Callable[[Tables, Params], tuple[DataFrame, DataFrame]] | None = None
+    pairs: Callable[[DataFrame, DataFrame, Params], DataFrame] | None = None
+    bound: Callable[[Params], str | None] | None = None
+
+    def keeps_sides(self, p: Params) -> bool:
+        return self.sides is not None and self.bound(p) is None
 
     def plan(self, tables: Tables, p: Params) -> DataFrame:
         timed = tables if self.declares else with_watermarks(tables, p.watermark_delay)
@@ -76,20 +85,36 @@ def _joined(many, many_key, one, one_key, condition, hot, salts):
     return many.join(one, equal & condition).drop("_part", "_copy")
 
 
-def _q3(t, p):
+def _paired(many, many_key, one, one_key, condition, hot, p):
+    """Join of two sides. Kept ones are joined as batches, which adaptive execution splits by itself, so there
+    only keys known to be hot are salted."""
+    if not many.isStreaming and not hot:
+        return many.join(one, (F.col(many_key) == F.col(one_key)) & condition)
+    return _joined(many, many_key, one, one_key, condition, hot, p.join_salts)
+
+
+def _join(sides, pairs, bound, **parts):
+    return Form(
+        lambda t, p: pairs(*sides(t, p), p), declares=True, sides=sides, pairs=pairs, bound=bound, **parts)
+
+
+def _q3_sides(t, p):
     t = _timed(t, p, p.join_horizon)
     sellers = t.person.where(F.col("state").isin(*p.states)).select(
         F.col("id").alias("person_id"), "name", "city", "state",
         F.col("date_time").alias("registered"),
     )
     auctions = t.auction.where(F.col("category") == p.category).select("id", "seller", "date_time")
-    return _joined(
-        auctions, "seller", sellers, "person_id",
-        _near(F.col("date_time"), F.col("registered"), p.join_horizon), p.hot_sellers, p.join_salts,
-    ).select("name", "city", "state", "id")
+    return auctions, sellers
+
+
+def _q3_pairs(auctions, sellers, p):
+    near = _near(F.col("date_time"), F.col("registered"), p.join_horizon)
+    found = _paired(auctions, "seller", sellers, "person_id", near, p.hot_sellers, p)
+    return found.select("name", "city", "state", "id")
 
 
-def _q20(t, p):
+def _q20_sides(t, p):
     t = _timed(t, p, p.join_horizon)
     auction = t.auction.where(F.col("category") == p.category).select(
         "id", "item_name", "description", "initial_bid", "reserve",
@@ -100,30 +125,39 @@ def _q20(t, p):
         "auction", "bidder", "price", "channel", "url",
         F.col("ts").alias("bid_date_time"), F.col("extra").alias("bid_extra"),
     )
-    return _joined(
-        bid, "auction", auction, "id",
-        _near(F.col("bid_date_time"), F.col("auction_date_time"), p.join_horizon), p.hot_auctions, p.join_salts,
-    ).drop("id")
+    return bid, auction
 
 
-def _matched(t, p, columns):
+def _q20_pairs(bid, auction, p):
+    near = _near(F.col("bid_date_time"), F.col("auction_date_time"), p.join_horizon)
+    return _paired(bid, "auction", auction, "id", near, p.hot_auctions, p).drop("id")
+
+
+def _matched(columns, **parts):
     """Bids while their auction is open.
 
     A given ``max_auction_length`` lets Spark drop old auctions. An auction open for longer then
     fails the query: its later bids would be lost.
     """
-    t = _timed(t, p, p.max_auction_length)
-    auction = t.auction.select(*columns)
-    bid = t.bid.select("auction", "bidder", "price", "ts")
-    while_open = F.col("ts").between(F.col("date_time"), F.col("expires"))
-    if p.max_auction_length is not None:
-        last = F.col("date_time") + _interval(p.max_auction_length)
-        too_long = F.raise_error(F.lit(f"an auction is open for more than {p.max_auction_length}"))
-        auction = auction.withColumn(
-            "expires", F.when(F.col("expires") > last, too_long).otherwise(F.col("expires"))
-        )
-        while_open &= F.col("ts") <= last
-    return _joined(bid, "auction", auction, "id", while_open, p.hot_auctions, p.join_salts)
+
+    def sides(t, p):
+        t = _timed(t, p, p.max_auction_length)
+        auction = t.auction.select(*columns)
+        if p.max_auction_length is not None:
+            last = F.col("date_time") + _interval(p.max_auction_length)
+            too_long = F.raise_error(F.lit(f"an auction is open for more than {p.max_auction_length}"))
+            auction = auction.withColumn(
+                "expires", F.when(F.col("expires") > last, too_long).otherwise(F.col("expires"))
+            )
+        return t.bid.select("auction", "bidder", "price", "ts"), auction
+
+    def pairs(bid, auction, p):
+        while_open = F.col("ts").between(F.col("date_time"), F.col("expires"))
+        if p.max_auction_length is not None:
+            while_open &= F.col("ts") <= F.col("date_time") + _interval(p.max_auction_length)
+        return _paired(bid, "auction", auction, "id", while_open, p.hot_auctions, p)
+
+    return _join(sides, pairs, lambda p: p.max_auction_length, **parts)
 
 
 def _finals(price):
@@ -142,10 +176,7 @@ def _winners(columns, highest, answer):
     def merge(stored, p):
         return best(stored.withColumnRenamed("bid_date_time", "ts"), p)
 
-    return Form(
-        lambda t, p: _matched(t, p, columns), batch=best, merge=merge, declares=True,
-        view=lambda stored, p: answer(merge(stored, p), p),
-    )
+    return _matched(columns, batch=best, merge=merge, view=lambda stored, p: answer(merge(stored, p), p))
 
 
 def _closing(columns, highest, answer):
@@ -262,10 +293,9 @@ _STATELESS = (
 
 FORMS: dict[str, Form] = {
     **{name: Form(CATALOG[name]) for name in _STATELESS},
-    "q3": Form(_q3, declares=True),
-    "q4": Form(
-        lambda t, p: _matched(t, p, ["id", "category", "date_time", "expires"]),
-        batch=_finals("price"), merge=_finals("final"), declares=True,
+    "q3": _join(_q3_sides, _q3_pairs, lambda p: p.join_horizon),
+    "q4": _matched(
+        ["id", "category", "date_time", "expires"], batch=_finals("price"), merge=_finals("final"),
         view=lambda stored, p: average_final(_finals("final")(stored, p)),
     ),
     "q5": Form(
@@ -304,7 +334,7 @@ FORMS: dict[str, Form] = {
         merge=lambda stored, p: top_bids(stored, p).drop("rank_number"),
         view=lambda stored, p: top_bids(stored, p).withColumnRenamed("ts", "date_time"),
     ),
-    "q20": Form(_q20, declares=True),
+    "q20": _join(_q20_sides, _q20_pairs, lambda p: p.join_horizon),
 }
 
 

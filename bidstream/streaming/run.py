@@ -8,6 +8,7 @@ from bidstream.params import Params
 from bidstream.sinks import store as stores
 from bidstream.sinks.stream import query_id
 from bidstream.sources.tables import Tables
+from bidstream.streaming import kept
 from bidstream.streaming.forms import Form
 from bidstream.streaming.salts import remembered
 
@@ -23,17 +24,23 @@ def start(
     levels of ``fan`` parts while the stream runs (see ``sinks.store``), so the store follows the
     number of groups. The default trigger reads all that is available and then stops by itself.
     ``state_partitions`` (default: one per core) is fixed by the first run of a checkpoint.
+    The sides of a join without a bound on time are kept beside the checkpoint (see ``kept``).
     """
     spark = _session(tables)
     p = remembered(spark, p, checkpoint)
-    rows = form.plan(tables, p)
+    sides = form.keeps_sides(p)
+    rows = kept.tagged(*form.sides(tables, p)) if sides else form.plan(tables, p)
     merge = None if form.merge is None else lambda stored: form.merge(stored, p)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
+        owner = query_id(batch.sparkSession, checkpoint)
+        if sides:
+            batch = kept.completed(
+                spark, batch, batch_id, f"{checkpoint}-sides", owner,
+                lambda many, one: form.pairs(many, one, p), fan)
         held = batch.persist() if form.reread else batch
         try:
             out = held if form.batch is None else form.batch(held, p)
-            owner = query_id(batch.sparkSession, checkpoint)
             stores.add(out, batch_id, store, owner, merge, fan)
         finally:
             if form.reread:

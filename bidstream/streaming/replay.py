@@ -53,6 +53,10 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
     A file stream takes files in the order they were written, so the slices are written one after
     the other; the rows of a slice are written in parallel. Two closing slices are needed because
     a watermark advances only for the micro-batch after the one that saw the time.
+
+    Rows are dealt to files by the hash of all their columns. Dealing them in turn would have every task sort
+    all its rows first, so that a retried one deals them alike, and that sort spills once tasks are large.
+    A file that got no rows is added empty: with fewer files a micro-batch would reach into the next slice.
     """
     spark = t.bid.sparkSession
     tables = {name: getattr(t, name) for name in _TIME if getattr(t, name) is not None}
@@ -71,7 +75,9 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
             mine = (at >= begin) & (at < end)
             mine = mine | at.isNull() if number == 0 else mine
             part = rows.where(mine).select(*_SCHEMA[name].fieldNames())
-            _write(part.repartition(files), f"{path}/{name}/data-{number}")
+            _write(dealt(part, files), folder := f"{path}/{name}/data-{number}")
+            for _ in range(files - sum(file.endswith(".parquet") for file in workspace.names(spark, folder))):
+                spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(folder)
     end = max(high, last or 0) + _YEAR
     for number in range(2):
         for name in tables:
@@ -80,6 +86,10 @@ def stage(t: Tables, path: str, slices: int, files: int) -> Stage:
     return Stage(path, files, end)
 
 
+def dealt(rows: DataFrame, files: int) -> DataFrame:
+    return rows.repartition(files, *rows.columns)
+
+
 def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

@@ -11,13 +11,26 @@ def sessions(rows: DataFrame, key: str, time: str, gap: str, count: str) -> Data
     (first, last, count) per slice with a partial aggregate. The ordered pass then sees at most
     time span / gap rows for a key, no matter how many events a hot key has.
     """
-    width = micros_of(gap)
+    return joined_slices(session_slices(rows, key, time, gap), key, gap, count)
+
+
+def session_slices(rows: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     micros = F.unix_micros(time)
-    slices = (
+    return (
         rows.where(F.col(time).isNotNull())
         .groupBy(key, slice_of(time, gap).alias("_slice"))
         .agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count(F.lit(1)).alias("_n"))
     )
+
+
+def merged_slices(slices: DataFrame, key: str) -> DataFrame:
+    """One row per key and slice from those of several sets of events."""
+    return slices.groupBy(key, "_slice").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n"))
+
+
+def joined_slices(slices: DataFrame, key: str, gap: str, count: str) -> DataFrame:
+    width = micros_of(gap)
     in_order = Window.partitionBy(key).orderBy("_slice")
     opens = F.col("_first") - F.lag("_last").over(in_order) > width
     started = slices.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("long"))

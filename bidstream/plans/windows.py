@@ -39,19 +39,23 @@ def q7(t: Tables, p: Params = Params()) -> DataFrame:
     The time range of the definition is closed at both ends, so a bid exactly on a window edge
     is also compared with the maximum of the window that ends there.
     """
-    bid = t.bid.select(
+    return highest_bids(placed_bids(t.bid, p)).select(
+        "auction", "price", "bidder", F.col("ts").alias("date_time")
+    )
+
+
+def placed_bids(bid: DataFrame, p: Params) -> DataFrame:
+    """Bids with the end of each window they are compared in."""
+    bid = bid.select(
         "auction", "price", "bidder", "ts", F.window("ts", p.tumble_size).alias("w")
     ).select("*", F.col("w.start").alias("opens"), F.col("w.end").alias("closes")).drop("w")
     on_edge = F.col("ts") == F.col("opens")
-    placed = bid.select(
+    return bid.select(
         "auction", "price", "bidder", "ts",
         F.explode(
             F.when(on_edge, F.array("closes", "opens")).otherwise(F.array("closes"))
         ).alias("window_end"),
     )
-    return highest_bids(placed).select(
-        "auction", "price", "bidder", F.col("ts").alias("date_time")
-    )
 
 
 def highest_bids(placed: DataFrame) -> DataFrame:
@@ -59,6 +63,16 @@ def highest_bids(placed: DataFrame) -> DataFrame:
     return rows_at_max(placed, "window_end", "price", among=within)
 
 
+def highest_so_far(placed: DataFrame) -> DataFrame:
+    """The rows that ``highest_bids`` may still find once more rows have come: the highest inside each window,
+    and those on its end that are not below them."""
+    inside = placed.where(F.col("ts") < F.col("window_end"))
+    best = inside.groupBy("window_end").agg(F.max("price").alias("_best"))
+    on_end = placed.where((F.col("ts") >= F.col("window_end")) & F.col("price").isNotNull())
+    level = on_end.join(best, "window_end", "left").where(F.col("_best").isNull() | (F.col("price") >= F.col("_best")))
+    return rows_at_max(inside, "window_end", "price").unionByName(level.drop("_best"))
+
+
 def q8(t: Tables, p: Params = Params()) -> DataFrame:
     """People who opened an auction in the window in which they registered."""
     window = F.window("date_time", p.tumble_size).alias("w")

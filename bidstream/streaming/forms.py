@@ -21,15 +21,15 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidstream.functions import slice_of
 from bidstream.operators import best_match
 from bidstream.operators.hot_keys import part_of, parts_of
+from bidstream.operators.sessions import joined_slices, merged_slices, session_slices
 from bidstream.params import Params
 from bidstream.plans import CATALOG
 from bidstream.plans import reports as R
 from bidstream.plans.joins import average_final
 from bidstream.plans.ranking import last_bids, seller_average, top_bids
-from bidstream.plans.windows import busiest, highest_bids
+from bidstream.plans.windows import busiest, highest_bids, highest_so_far, placed_bids
 from bidstream.sources.events import with_watermarks
 from bidstream.sources.tables import Tables
 from bidstream.streaming.closing import winners
@@ -222,26 +222,8 @@ def _q5(t, p):
     )
 
 
-def _q7(t, p):
-    """Bids grouped per window; a bid on an edge also enters, a microsecond early, the window
-    that ends there. Equal bids collapse into a count."""
-    on_edge = F.unix_micros("ts") == slice_of("ts", p.tumble_size)
-    earlier = F.col("ts") - F.expr("interval 1 microsecond")
-    placed = t.bid.select(
-        "auction", "bidder", "price", "ts",
-        F.explode(F.when(on_edge, F.array("ts", earlier)).otherwise(F.array("ts"))).alias("at"),
-    ).withWatermark("at", p.watermark_delay)
-    return (
-        placed.groupBy("auction", "bidder", "price", "ts", F.window("at", p.tumble_size).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("auction", "bidder", "price", "ts", "n", F.col("w.end").alias("window_end"))
-    )
-
-
-def _q7_highest(closed, p):
-    return _repeated(highest_bids(closed), "n").select(
-        "auction", "price", "bidder", F.col("ts").alias("date_time")
-    )
+def _q7_view(stored, p):
+    return highest_bids(stored).select("auction", "price", "bidder", F.col("ts").alias("date_time"))
 
 
 def _repeated(rows, count, run=10_000):
@@ -251,15 +233,8 @@ def _repeated(rows, count, run=10_000):
     return rows.select("*", runs).select("*", F.explode(F.sequence(F.lit(1), length)).alias("_copy"))
 
 
-def _q11(t, p):
-    return (
-        t.bid.groupBy("bidder", F.session_window("ts", p.session_gap).alias("s"))
-        .agg(F.count(F.lit(1)).alias("bid_count"))
-        .select(
-            "bidder", "bid_count",
-            F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-        )
-    )
+def _q11_view(stored, p):
+    return joined_slices(merged_slices(stored, "bidder"), "bidder", p.session_gap, "bid_count")
 
 
 def _q12(t, p):
@@ -304,14 +279,24 @@ FORMS: dict[str, Form] = {
     ),
     "q6": _q6(highest=False),
     "q6_winning": _q6(highest=True),
-    "q7": Form(_q7, batch=_q7_highest, declares=True, reread=True),
+    "q7": Form(
+        lambda t, p: t.bid.select("auction", "price", "bidder", "ts"), declares=True,
+        batch=lambda rows, p: highest_so_far(placed_bids(rows, p)),
+        merge=lambda stored, p: highest_so_far(stored),
+        view=_q7_view,
+    ),
     "q8": Form(CATALOG["q8"]),
     "q9": _winners(_Q9_COLUMNS, True, lambda closed, p: closed),
     "q4_closing": _closing(["id", "category", "date_time", "expires"], True, _finals_of),
     "q6_closing": _closing(_Q6_COLUMNS, False, _sellers_of),
     "q6_winning_closing": _closing(_Q6_COLUMNS, True, _sellers_of),
     "q9_closing": _closing(_Q9_COLUMNS, True, lambda closed, p: closed),
-    "q11": Form(_q11),
+    "q11": Form(
+        lambda t, p: t.bid.select("bidder", "ts"), declares=True,
+        batch=lambda rows, p: session_slices(rows, "bidder", "ts", p.session_gap),
+        merge=lambda stored, p: merged_slices(stored, "bidder"),
+        view=_q11_view,
+    ),
     "q12": Form(
         _q12, mode="update", declares=True,
         merge=lambda stored, p: _newest_counts(stored),

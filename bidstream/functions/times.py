@@ -51,6 +51,15 @@ def slice_of(time, width: str) -> Column:
     return F.coalesce(micros - F.pmod(micros, F.lit(micros_of(width))), F.lit(-(1 << 63)))
 
 
+def hop_ends(time, size: str, slide: str) -> tuple[Column, Column]:
+    """Starts, in epoch microseconds, of the oldest and the newest sliding window that hold a time; the oldest
+    is the later one if none does."""
+    step, length = micros_of(slide), micros_of(size)
+    micros = F.unix_micros(time)
+    before = micros - F.lit(length)
+    return before - F.pmod(before, F.lit(step)) + F.lit(step), micros - F.pmod(micros, F.lit(step))
+
+
 def hop_starts(time, size: str, slide: str) -> Column:
     """Starts, in epoch microseconds, of every sliding window that holds a time."""
     step, length = micros_of(slide), micros_of(size)

@@ -28,9 +28,9 @@ def q5(t: Tables, p: Params = Params()) -> DataFrame:
     return busiest(counts).select("auction", "num")
 
 
-def busiest(counts: DataFrame) -> DataFrame:
-    """The auctions of the most bids in each window, with the window."""
-    return rows_at_max(counts, "starttime", "num")
+def busiest(counts: DataFrame, few: int = 0) -> DataFrame:
+    """The auctions of the most bids in each window, with the window; ``few`` as in ``rows_at_max``."""
+    return rows_at_max(counts, "starttime", "num", few=few)
 
 
 def q7(t: Tables, p: Params = Params()) -> DataFrame:

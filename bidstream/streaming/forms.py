@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidstream.operators import best_match
+from bidstream.operators.hops import hop_panes, merged_panes, window_counts
 from bidstream.operators.hot_keys import part_of, parts_of
 from bidstream.operators.sessions import joined_slices, merged_slices, session_slices
 from bidstream.params import Params
@@ -214,12 +215,8 @@ _Q9_COLUMNS = [
 ]
 
 
-def _q5(t, p):
-    return (
-        t.bid.groupBy("auction", F.window("ts", p.hop_size, p.hop_slide).alias("w"))
-        .agg(F.count(F.lit(1)).alias("num"))
-        .select("auction", "num", F.col("w.start").alias("starttime"))
-    )
+def _q5_view(stored, p):
+    return busiest(window_counts(stored, "auction", p.hop_slide), p.broadcast_rows).select("auction", "num")
 
 
 def _q7_view(stored, p):
@@ -274,8 +271,10 @@ FORMS: dict[str, Form] = {
         view=lambda stored, p: average_final(_finals("final")(stored, p)),
     ),
     "q5": Form(
-        _q5, batch=lambda rows, p: busiest(rows), reread=True,
-        view=lambda stored, p: stored.select("auction", "num"),
+        lambda t, p: t.bid.select("auction", "ts"), declares=True,
+        batch=lambda rows, p: hop_panes(rows, "auction", "ts", p.hop_size, p.hop_slide),
+        merge=lambda stored, p: merged_panes(stored, "auction"),
+        view=_q5_view,
     ),
     "q6": _q6(highest=False),
     "q6_winning": _q6(highest=True),

@@ -24,7 +24,7 @@ _CLOSING_IDS = {"bid": {"auction": -2, "bidder": -2, "price": 0}, "auction": {"i
 
 # Forms that finish by event time, with the column of their stored rows that holds it; none where closing
 # rows leave no stored rows, as their auctions have no bids.
-CLOSING = {"q5": "starttime", "q8": "starttime",
+CLOSING = {"q8": "starttime",
            "q4_closing": None, "q6_closing": None, "q6_winning_closing": None, "q9_closing": None}
 
 

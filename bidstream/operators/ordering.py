@@ -1,7 +1,9 @@
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidstream.workspace import frozen
+from bidstream.workspace import frozen, held
 
 
 def numbered(rows: DataFrame, order, name: str = "row_index") -> DataFrame:
@@ -20,8 +22,26 @@ def numbered(rows: DataFrame, order, name: str = "row_index") -> DataFrame:
         .withColumn("_place", F.monotonically_increasing_id())
         .drop("_source")
     )
-    # The id is (partition << 33) + position in the partition.
-    part = F.shiftrightunsigned(F.col("_place"), 33)
+    return _counted_through(layout, layout, F.shiftrightunsigned(F.col("_place"), 33), name)
+
+
+@contextmanager
+def numbered_once(rows: DataFrame, order, name: str = "row_index"):
+    """As ``numbered``, for use inside the context and without storing the rows, if ``order`` names all columns.
+
+    Rows are then placed by their values alone, so the files of one shuffle serve the counting of its
+    partitions and the numbering, also where a part of them has to be made again. Equal rows share a partition.
+    """
+    if not set(rows.columns) <= set(order):
+        yield numbered(rows, order, name)
+        return
+    with held(rows.repartitionByRange(_partitions(rows), *order)) as layout:
+        placed = layout.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+        yield _counted_through(placed, layout, F.spark_partition_id(), name)
+
+
+def _counted_through(placed: DataFrame, layout: DataFrame, part, name: str) -> DataFrame:
+    """``placed`` with dense numbers: ``part`` is the partition of a row of ``layout``, which has the same rows in each."""
     sizes = layout.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select(
         "_part",
@@ -30,9 +50,10 @@ def numbered(rows: DataFrame, order, name: str = "row_index") -> DataFrame:
             F.lit(0),
         ).alias("_start"),
     )
-    # One row per partition: the broadcast is bounded by the partition count.
+    # The id is (partition << 33) + position in the partition. One row per partition: the broadcast is
+    # bounded by the partition count.
     return (
-        layout.withColumn("_part", part)
+        placed.withColumn("_part", F.shiftrightunsigned(F.col("_place"), 33))
         .join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1))
         .drop("_part", "_start", "_place")

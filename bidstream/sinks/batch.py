@@ -2,7 +2,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidstream.functions import day_of
-from bidstream.operators.ordering import numbered
+from bidstream.operators.ordering import numbered, numbered_once
 
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 _BID_ORDER = ["ts", "auction", "bidder", "price", "channel", "url", "extra"]
@@ -36,16 +36,21 @@ def as_json_lines(rows: DataFrame):
 
 def keyed(rows: DataFrame, partitions: int, order=_BID_ORDER) -> DataFrame:
     """(key, value): JSON records in ``order``, with keys p0, p1, … dealt round-robin."""
-    return numbered(rows, order, "_index").select(
+    return _keyed(numbered(rows, order, "_index"), rows, partitions)
+
+
+def _keyed(in_order, rows, partitions):
+    return in_order.select(
         F.concat(F.lit("p"), F.col("_index") % partitions).alias("key"),
         as_json_lines(rows).alias("value"),
     )
 
 
-def write_keyed_lines(rows: DataFrame, path: str, partitions: int, order=_BID_ORDER) -> None:
+def write_keyed_lines(rows: DataFrame, path: str, partitions: int, order=_BID_ORDER, compression="none") -> None:
     """Text lines ``key<TAB>json``; the files follow ``order``."""
-    lines = keyed(rows, partitions, order).select(F.concat_ws("\t", "key", "value").alias("value"))
-    lines.write.mode("overwrite").text(path)
+    with numbered_once(rows, order, "_index") as in_order:
+        lines = _keyed(in_order, rows, partitions).select(F.concat_ws("\t", "key", "value").alias("value"))
+        lines.write.mode("overwrite").option("compression", compression).text(path)
 
 
 def to_kafka(rows: DataFrame, brokers: str, topic: str, partitions: int) -> None:

@@ -94,6 +94,22 @@ def temporary(spark: SparkSession):
                 delete(spark, folder)
 
 
+@contextmanager
+def held(rows: DataFrame):
+    """The rows as their last shuffle has laid them out, for several readings inside the context.
+
+    The files of the shuffle serve all readings and are deleted at the end; unlike ``frozen`` nothing is written
+    besides them. A lost part of them is made again from the source, with the bounds of the first time. So that
+    every reading finds the same rows in a partition, the shuffle must place a row by its columns alone.
+    """
+    spark = rows.sparkSession
+    laid_out = rows._jdf.queryExecution().toRdd()
+    try:
+        yield DataFrame(spark._jsparkSession.internalCreateDataFrame(laid_out, rows._jdf.schema(), False), spark)
+    finally:
+        laid_out.cleanShuffleDependencies(False)
+
+
 def frozen(rows: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are stored in the shared folder and their lineage is cut."""
     spark = rows.sparkSession

@@ -4,6 +4,7 @@ import gzip
 import json
 from pathlib import Path
 
+import __spark_entry__ as registry
 from bidstream import sinks, workspace
 from bidstream.operators import ordering
 from bidstream.operators.ordering import numbered_once
@@ -44,3 +45,10 @@ def test_compressed_lines_follow_the_order(spark, make, tmp_path):
     assert order == sorted(order)
     back = read_bids(spark, str(tmp_path / "log")).drop("key")
     assert bid.exceptAll(back).isEmpty() and back.count() == 400
+
+
+def test_a_laid_out_log_leaves_no_lines(spark):
+    before = set(Path(workspace.root(spark)).iterdir())
+    found = registry.queries()["replicated_log"](spark, "/root/testdata/sf0.001")
+    assert found.count() == 6000
+    assert [p.name.split("-")[0] for p in set(Path(workspace.root(spark)).iterdir()) - before] == ["replicated"]

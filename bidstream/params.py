@@ -34,6 +34,9 @@ class Params:
     join_salts: int = 4
     hot_auctions: tuple[int, ...] | None = None
     hot_sellers: tuple[int, ...] | None = None
+    # Streams only: whether forms that close auctions keep the open ones in a store beside the checkpoint, and
+    # join it as a table, in place of Spark's own state. Fixed for the life of a checkpoint.
+    keep_open: bool = False
     # Largest side table that is shipped whole to every executor (two short columns a row).
     broadcast_rows: int = 1_000_000
     # Rows per block when the history of one seller is split over tasks.

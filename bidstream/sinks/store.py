@@ -52,8 +52,11 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def add(
     rows: DataFrame, batch_id: int, path: str, owner: str | None = None,
     merge: Callable[[DataFrame], DataFrame] | None = None, fan: int = 8, replace: bool = False,
+    versions: int = KEPT_VERSIONS,
 ) -> None:
-    """Commit a micro-batch once, in place of all parts if ``replace``, then merge the levels it fills."""
+    """Commit a micro-batch once, in place of all parts if ``replace``, then merge the levels it fills.
+
+    Frames over the store stay readable for ``versions`` more commits."""
     if fan < 2:
         raise ValueError("a level is merged from at least 2 parts")
     spark = rows.sparkSession
@@ -69,7 +72,7 @@ def add(
     now = _commit(spark, path, now)
     if merge is not None:
         _merge_levels(spark, path, now, rows.schema, merge, fan)
-    _tidy(spark, path)
+    _tidy(spark, path, versions)
 
 
 def _merge_levels(spark, path, now, schema, merge, fan):
@@ -116,12 +119,12 @@ def _commit(spark, path, now: Manifest) -> Manifest:
     return following
 
 
-def _tidy(spark, path) -> None:
+def _tidy(spark, path, most) -> None:
     """Delete old manifests, and the parts that none of the kept ones names."""
     versions = sorted(_versions(spark, path))
-    for version in versions[:-KEPT_VERSIONS]:
+    for version in versions[:-most]:
         workspace.delete(spark, _name(path, version))
-    kept = [_manifest(spark, path, version) for version in versions[-KEPT_VERSIONS:]]
+    kept = [_manifest(spark, path, version) for version in versions[-most:]]
     named = {part.folder for manifest in kept for part in manifest.parts}
     for folder in workspace.names(spark, path):
         if folder.startswith("part=") and folder not in named:

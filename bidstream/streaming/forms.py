@@ -50,10 +50,15 @@ class Form:
     sides: Callable[[Tables, Params], tuple[DataFrame, DataFrame]] | None = None
     pairs: Callable[[DataFrame, DataFrame, Params], DataFrame] | None = None
     bound: Callable[[Params], str | None] | None = None
+    # Columns of the auctions that the form closes, and whether the highest bid wins.
+    closes: tuple[list[str], bool] | None = None
 
     def keeps_sides(self, p: Params) -> bool:
         return self.sides is not None and self.bound(p) is None
 
+    def keeps_open(self, p: Params) -> bool:
+        return self.closes is not None and p.keep_open
+
     def plan(self, tables: Tables, p: Params) -> DataFrame:
         timed = tables if self.declares else with_watermarks(tables, p.watermark_delay)
         return self.build(timed, p)
@@ -181,8 +186,8 @@ def _winners(columns, highest, answer):
 
 
 def _closing(columns, highest, answer):
-    """Winners from state that ends with the auction (see ``closing``); the parts of an auction are merged
-    when the answer is read."""
+    """Winners from state, or with ``keep_open`` a store, that ends with the auction (see ``closing``); the parts
+    of an auction are merged when the answer is read."""
 
     def build(t, p):
         return winners(t.bid, t.auction, columns, highest, p.watermark_delay, p.hot_auctions, p.join_salts)
@@ -190,7 +195,8 @@ def _closing(columns, highest, answer):
     def merge(stored, p):
         return best_match(stored.withColumnRenamed("bid_date_time", "ts"), columns, ["id"], highest)
 
-    return Form(build, merge=merge, declares=True, view=lambda stored, p: answer(merge(stored, p), p))
+    return Form(
+        build, merge=merge, declares=True, view=lambda stored, p: answer(merge(stored, p), p), closes=(columns, highest))
 
 
 def _finals_of(closed, p):

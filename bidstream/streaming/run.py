@@ -4,11 +4,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bidstream import workspace
 from bidstream.params import Params
 from bidstream.sinks import store as stores
 from bidstream.sinks.stream import query_id
 from bidstream.sources.tables import Tables
-from bidstream.streaming import kept
+from bidstream.streaming import closing, kept
 from bidstream.streaming.forms import Form
 from bidstream.streaming.salts import remembered
 
@@ -24,12 +25,18 @@ def start(
     levels of ``fan`` parts while the stream runs (see ``sinks.store``), so the store follows the
     number of groups. The default trigger reads all that is available and then stops by itself.
     ``state_partitions`` (default: one per core) is fixed by the first run of a checkpoint.
-    The sides of a join without a bound on time are kept beside the checkpoint (see ``kept``).
+    The sides of a join without a bound on time are kept beside the checkpoint (see ``kept``), and so are the
+    open auctions of a form that closes them, with ``keep_open`` (see ``closing``).
     """
     spark = _session(tables)
     p = remembered(spark, p, checkpoint)
     sides = form.keeps_sides(p)
-    rows = kept.tagged(*form.sides(tables, p)) if sides else form.plan(tables, p)
+    opens = form.keeps_open(p)
+    _check_state(spark, form, opens, checkpoint)
+    if sides:
+        rows = kept.tagged(*form.sides(tables, p))
+    else:
+        rows = kept.tagged(*closing.sides(tables, form.closes[0])) if opens else form.plan(tables, p)
     merge = None if form.merge is None else lambda stored: form.merge(stored, p)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -38,6 +45,10 @@ def start(
             batch = kept.completed(
                 spark, batch, batch_id, f"{checkpoint}-sides", owner,
                 lambda many, one: form.pairs(many, one, p), fan)
+        if opens:
+            batch = closing.settled(
+                spark, batch, batch_id, f"{checkpoint}-open", owner, *form.closes, p.watermark_delay,
+                p.hot_auctions, p.join_salts)
         held = batch.persist() if form.reread else batch
         try:
             out = held if form.batch is None else form.batch(held, p)
@@ -58,6 +69,13 @@ def start(
         return writer.start()
 
 
+def _check_state(spark, form, opens, checkpoint):
+    """Open auctions are where the checkpoint began to keep them."""
+    other = f"{checkpoint}/state" if opens else f"{checkpoint}-open"
+    if form.closes is not None and workspace.exists(spark, other):
+        raise ValueError(f"{checkpoint} began with keep_open={not opens}")
+
+
 def _session(tables):
     return next(rows for rows in tables if rows is not None).sparkSession
 
